@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,13 +48,9 @@ def lower_az(text: str | None) -> bytes:
     return b"" if text is None else text.encode().translate(_LOWER_AZ)
 
 
-def crc_mod(doc_id: Column, n: int) -> Column:
-    """crc32 of the id as text, modulo ``n``; a null id counts as ''."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
-
-
-def crc_mod_py(doc_id, n: int) -> int:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % n
+def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
+    """Whether crc32 of the id as text falls into the fold; a null id counts as ''."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
 def clipped(docs: DataFrame, **columns: str) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, licences, mixing, pieces, token_files
+from . import exact_dedup, fingerprints, language_id, licences, mixing, pieces, token_files
+from .common import in_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +46,14 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(table(spark, sf_dir, "documents"), path, columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = in_fold(docs["doc_id"], 5, 0)
+    model = language_id.train(docs.where(~held_out).select("doc_id", "lang", "text"))
+    found = language_id.predict_languages(docs, model)
+    return found.withColumn("held_out", in_fold(found["doc_id"], 5, 0))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_mix_sources": op2_mix_sources,
@@ -52,4 +61,5 @@ QUERIES: dict[str, Query] = {
     "op4_licences": op4_licences,
     "op5_token_files": op5_token_files,
     "op8_pieces": op8_pieces,
+    "op10_language_id": op10_language_id,
 }
