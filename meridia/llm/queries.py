@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, language_id, licences, mixing, pieces, token_files
+from . import exact_dedup, fingerprints, language_id, licences, mixing, pieces, token_files, toxicity
 from .common import in_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,13 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(shards, columns=("ids_crc32",))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~in_fold(labels["doc_id"], 4, 2)))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.withColumn("held_out", in_fold(scored["doc_id"], 4, 2))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     return pieces.encode_pieces(table(spark, sf_dir, "documents"), path, columns=("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -60,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_licences": op4_licences,
     "op5_token_files": op5_token_files,
+    "op6_toxicity": op6_toxicity,
     "op8_pieces": op8_pieces,
     "op10_language_id": op10_language_id,
 }
