@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, language_id, licences, mixing, pieces, token_files, toxicity
+from . import class_lm, exact_dedup, fingerprints, language_id, licences, mixing, pieces, token_files, toxicity
 from .common import in_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", in_fold(scored["doc_id"], 4, 2))
 
 
+def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, rare_counts = class_lm.train(docs.where(~in_fold(docs["doc_id"], 7, 2)).select("text"))
+    scored = class_lm.score_documents(docs, model, rare_counts)
+    return scored.withColumn("held_out", in_fold(scored["doc_id"], 7, 2))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     return pieces.encode_pieces(table(spark, sf_dir, "documents"), path, columns=("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -68,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op4_licences": op4_licences,
     "op5_token_files": op5_token_files,
     "op6_toxicity": op6_toxicity,
+    "op7_class_lm": op7_class_lm,
     "op8_pieces": op8_pieces,
     "op10_language_id": op10_language_id,
 }
