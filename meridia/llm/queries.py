@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import class_lm, exact_dedup, fingerprints, language_id, licences, mixing, pieces, token_files, toxicity
+from . import class_lm, exact_dedup, fingerprints, language_id, licences, mixing, ngram_join, pieces, token_files, toxicity
 from .common import in_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(table(spark, sf_dir, "documents"), path, columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = in_fold(docs["doc_id"], 5, 0)
@@ -77,5 +81,6 @@ QUERIES: dict[str, Query] = {
     "op6_toxicity": op6_toxicity,
     "op7_class_lm": op7_class_lm,
     "op8_pieces": op8_pieces,
+    "op9_ngram_join": op9_ngram_join,
     "op10_language_id": op10_language_id,
 }
