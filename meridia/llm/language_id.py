@@ -104,7 +104,7 @@ class LanguageModel:
         """Language, confidence in [0, 1], its cross-entropy and whether it is rejected."""
         points = letters(text)
         if not len(points) or not self.languages:
-            return UNDETERMINED, 0.0, None, True
+            return UNDETERMINED, 0.0, None, not len(points)
         bits = self.entropies(points)
         best = int(np.argmin(bits))
         score = 1.0 / np.exp2(-(bits - bits[best]) * self.scale).sum()
