@@ -35,7 +35,9 @@ def source_targets(sizes: DataFrame, cycle: int = 3, cap: float = 3.0) -> DataFr
     weigh 1 .. ``cycle`` in turn and share the sum of all sizes; a target stops
     at ``cap`` times its source's size and the excess is shared again by
     weight.  That fixed point is a water level: targets are
-    ``min(cap * size, weight * level)``.
+    ``min(cap * size, weight * level)``.  With sources in order of the level at
+    which each is full, every suffix gives a level for its sources if all
+    before are full; of those none of its sources is above, the highest holds.
     """
     ordered = Window.orderBy(F.col("source").asc_nulls_last())
     s = sizes.withColumn("weight", ((F.row_number().over(ordered) - 1) % cycle + 1).cast("double"))
@@ -45,7 +47,7 @@ def source_targets(sizes: DataFrame, cycle: int = 3, cap: float = 3.0) -> DataFr
     s = s.withColumn("full", F.coalesce(F.sum("most").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     s = s.withColumn("open", F.sum("weight").over(fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
     s = s.withColumn("level", (F.sum(F.col("source_size").cast("double")).over(whole) - F.col("full")) / F.col("open"))
-    s = s.withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(whole))
+    s = s.withColumn("level", F.max(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(whole))
     return s.select("source_key", "source", "source_size", "n_rows", F.least("most", F.col("weight") * F.col("level")).alias("target"))
 
 

@@ -22,7 +22,7 @@ WITH w AS (
          (sum(source_size) OVER ())::DOUBLE AS total
   FROM s2
 ), s4 AS (
-  SELECT *, min(CASE WHEN ratio >= (total - full_) / open_ THEN (total - full_) / open_ END) OVER () AS level FROM s3
+  SELECT *, max(CASE WHEN ratio >= (total - full_) / open_ THEN (total - full_) / open_ END) OVER () AS level FROM s3
 ), t AS (
   SELECT source, source_size, least(most, weight * level) AS target FROM s4
 ), t1 AS (
