@@ -36,21 +36,21 @@ def _bernoulli() -> Estimator:
 
 
 FAMILIES: dict[str, Family] = {
-    "logistic_regression": Family(lambda: mc.LogisticRegression(maxIter=100, featuresCol="scaled"), True, grid={"regParam": [0.01, 0.1, 1.0]}),
-    "sgd_classifier": Family(lambda: mc.OneVsRest(classifier=mc.LinearSVC(maxIter=50, featuresCol="scaled"), featuresCol="scaled"), True, True),
-    "linear_svc": Family(lambda: mc.OneVsRest(classifier=mc.LinearSVC(maxIter=100, featuresCol="scaled"), featuresCol="scaled"), True, grid={"regParam": [0.01, 0.1]}),
-    "mlp": Family(lambda: mc.MultilayerPerceptronClassifier(maxIter=100, featuresCol="scaled", seed=42), True),
+    "logistic_regression": Family(lambda: mc.LogisticRegression(maxIter=30, featuresCol="scaled"), True, grid={"regParam": [0.01, 0.1, 1.0]}),
+    "sgd_classifier": Family(lambda: mc.OneVsRest(classifier=mc.LinearSVC(maxIter=20, featuresCol="scaled"), featuresCol="scaled"), True, True),
+    "linear_svc": Family(lambda: mc.OneVsRest(classifier=mc.LinearSVC(maxIter=30, featuresCol="scaled"), featuresCol="scaled"), True, grid={"regParam": [0.01, 0.1]}),
+    "mlp": Family(lambda: mc.MultilayerPerceptronClassifier(maxIter=30, featuresCol="scaled", seed=42), True),
     "bernoulli_nb": Family(_bernoulli),
     "gaussian_nb": Family(lambda: mc.NaiveBayes(modelType="gaussian")),
     "multinomial_nb": Family(lambda: mc.NaiveBayes(modelType="multinomial"), grid={"smoothing": [0.1, 1.0]}),
     "complement_nb": Family(lambda: mc.NaiveBayes(modelType="complement")),
     "decision_tree": Family(lambda: mc.DecisionTreeClassifier(maxDepth=8, seed=42), grid={"maxDepth": [4, 8, 12]}),
-    "random_forest": Family(lambda: mc.RandomForestClassifier(numTrees=50, seed=42), grid={"numTrees": [50, 100]}),
+    "random_forest": Family(lambda: mc.RandomForestClassifier(numTrees=20, seed=42), grid={"numTrees": [50, 100]}),
     "gradient_boosting": Family(lambda: mc.GBTClassifier(maxIter=20, seed=42)),
     "hist_gradient_boosting": Family(lambda: mc.GBTClassifier(maxIter=20, maxBins=255, seed=42), stand_in=True),
     "xgboost": Family(lambda: mc.GBTClassifier(maxIter=30, maxDepth=6, seed=42), stand_in=True),
     "lightgbm": Family(lambda: mc.GBTClassifier(maxIter=30, maxDepth=6, maxBins=255, seed=42), stand_in=True),
-    "extra_trees": Family(lambda: mc.RandomForestClassifier(numTrees=50, subsamplingRate=1.0, seed=42), stand_in=True),
+    "extra_trees": Family(lambda: mc.RandomForestClassifier(numTrees=20, subsamplingRate=1.0, seed=42), stand_in=True),
     "bagging": Family(lambda: mc.RandomForestClassifier(numTrees=20, featureSubsetStrategy="all", seed=42)),
 }
 #: Families without a distributed counterpart in Spark.
