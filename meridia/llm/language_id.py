@@ -122,7 +122,8 @@ def sample_rows(rows: DataFrame, per_language: int, seed: int) -> DataFrame:
     """About ``per_language`` rows of each ``lang`` by a hash of the id, chosen where they stand."""
     share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count(F.lit(1))).alias("share"))
     u = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), F.lit(1_000_000)) / 1e6
-    return rows.join(share, "lang").where(u < F.col("share")).select("doc_id", "lang", "text", (u > F.col("share") * 0.8).alias("calibrates"))
+    # One row a language, and the model holds a column for each: small enough to broadcast, so no text is shuffled.
+    return rows.join(F.broadcast(share), "lang").where(u < F.col("share")).select("doc_id", "lang", "text", (u > F.col("share") * 0.8).alias("calibrates"))
 
 
 def count_grams(sample: DataFrame) -> DataFrame:

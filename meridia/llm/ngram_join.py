@@ -37,11 +37,14 @@ from .components import connected_components
 WIDTH = 5
 #: Links need ``100 * intersection >= PERCENT * union``.
 PERCENT = 75
-#: Shingle hashes keep this many bits between tasks.
-BITS = 48
-_MASK = np.uint64(2**BITS - 1)
-#: Shingles a task gathers before it sends blocks.
+#: Between tasks a shingle is its bucket and this many bits of its hash; as
+#: buckets grow in number with the data, chance equality stays at one in 500,000.
+BITS = 40
+#: Shingles a task gathers before it sends blocks, and that a bucket holds on average.
 FLUSH = 1_000_000
+PER_BUCKET = 2_000_000
+#: Sizes and counts travel in two bytes; larger sizes saturate, larger counts are split.
+_MOST = 65_535
 #: DivideSkip's cost ratio of probing a long list to merging it.
 MU = 0.0085
 
@@ -136,29 +139,33 @@ _BLOCK_NAMES = ["bucket", "members", "sizes", "counts", "hashes", "extra"]
 _BLOCK_TYPES = [pa.int32(), *[pa.binary()] * 5]
 
 
-def pack_blocks(bucket: np.ndarray, member: np.ndarray, size: np.ndarray, hashes: np.ndarray, extra: np.ndarray | None = None) -> pa.RecordBatch:
-    """Rows (class, its size, hash, extra), grouped into one block a bucket, each class named once a block."""
+def pack_blocks(bucket: np.ndarray, member: np.ndarray, size: np.ndarray, hashes: np.ndarray, extra: np.ndarray | None = None, width: int = BITS // 8) -> pa.RecordBatch:
+    """Rows (class, its size, hash in ``width`` bytes, extra), grouped into one block a bucket, each class named once a block."""
     order = np.lexsort((hashes, member, bucket))
     bucket, member, size, hashes = bucket[order], member[order], size[order], hashes[order]
     extra = None if extra is None else extra[order]
     opens = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (member[1:] != member[:-1])])[: len(bucket)])
-    counts = np.diff(np.append(opens, len(bucket))).astype("<u4")
-    packed = np.ascontiguousarray(hashes.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, : BITS // 8]
+    counts = np.diff(np.append(opens, len(bucket)))
+    if len(counts) and counts.max() > _MOST:
+        opens = np.sort(np.concatenate([np.arange(i, i + n, _MOST) for i, n in zip(opens, counts)]))
+        counts = np.diff(np.append(opens, len(bucket)))
+    counts, size = counts.astype("<u2"), np.minimum(size, _MOST).astype("<u2")
+    packed = np.ascontiguousarray(hashes.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
     names, first = np.unique(bucket[opens], return_index=True)
     ends = np.append(first[1:], len(opens))
     rows = []
     for b, i, j in zip(names.tolist(), first.tolist(), ends.tolist()):
-        lo, hi = opens[i], opens[j - 1] + counts[j - 1]
+        lo, hi = opens[i], opens[j - 1] + int(counts[j - 1])
         more = b"" if extra is None else extra[lo:hi].astype("<u4").tobytes()
-        rows.append((b, member[opens[i:j]].astype("<i8").tobytes(), size[opens[i:j]].astype("<u4").tobytes(), counts[i:j].tobytes(), packed[lo:hi].tobytes(), more))
+        rows.append((b, member[opens[i:j]].astype("<i8").tobytes(), size[opens[i:j]].tobytes(), counts[i:j].tobytes(), packed[lo:hi].tobytes(), more))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _BLOCK_TYPES)] if rows else [pa.array([], t) for t in _BLOCK_TYPES], names=_BLOCK_NAMES)
 
 
-def unpack_blocks(blocks: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unpack_blocks(blocks: list[tuple], width: int = BITS // 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Class, size, hash and extra of each row of a bucket's blocks."""
-    members, sizes, counts, hashes, extra = (np.concatenate([np.frombuffer(b[i], t) for b in blocks]) for i, t in enumerate(("<i8", "<u4", "<u4", "u1", "<u4")))
-    full = np.zeros((len(hashes) // (BITS // 8), 8), np.uint8)
-    full[:, : BITS // 8] = hashes.reshape(-1, BITS // 8)
+    members, sizes, counts, hashes, extra = (np.concatenate([np.frombuffer(b[i], t) for b in blocks]) for i, t in enumerate(("<i8", "<u2", "<u2", "u1", "<u4")))
+    full = np.zeros((len(hashes) // width, 8), np.uint8)
+    full[:, :width] = hashes.reshape(-1, width)
     return np.repeat(members, counts), np.repeat(sizes, counts), full.view("<u8").ravel(), extra
 
 
@@ -188,7 +195,7 @@ def shingle_blocks(docs: DataFrame, buckets: int) -> DataFrame:
             lengths = [len(s) for _, s in held]
             hashes = np.concatenate([s for _, s in held])
             member = np.repeat(np.array([d for d, _ in held], np.int64), lengths)
-            return pack_blocks((hashes % np.uint64(buckets)).astype(np.int32), member, np.repeat(lengths, lengths), hashes & _MASK)
+            return pack_blocks((hashes % np.uint64(buckets)).astype(np.int32), member, np.repeat(lengths, lengths), hashes >> np.uint64(64 - BITS))
 
         for batch in batches:
             for (text,) in arrow_rows(batch, "text"):
@@ -211,8 +218,9 @@ def shared_shingles(blocks: DataFrame, buckets: int, parts: int) -> DataFrame:
     """Shingles of two classes or more, with their frequency, in blocks by class."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in by_bucket(batches):
+        for bucket, held in by_bucket(batches):
             member, size, hashes, _ = unpack_blocks(held)
+            hashes |= np.uint64(bucket << BITS)
             order = np.lexsort((member, hashes))
             member, size, hashes = member[order], size[order], hashes[order]
             new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (member[1:] != member[:-1])])
@@ -223,17 +231,17 @@ def shared_shingles(blocks: DataFrame, buckets: int, parts: int) -> DataFrame:
             keep = frequency > 1
             if keep.any():
                 target = (mixed(member[keep].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-                yield pack_blocks(target, member[keep], size[keep], hashes[keep], frequency[keep])
+                yield pack_blocks(target, member[keep], size[keep], hashes[keep], frequency[keep], width=8)
 
     return blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(work, _BLOCK)
 
 
-def survivors(shared: DataFrame, parts: int) -> DataFrame:
+def survivors(shared: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """``digest, n, shingles, short``: classes that can link, their shared shingles (sorted, packed) and short lists."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in by_bucket(batches):
-            member, size, hashes, frequency = unpack_blocks(held)
+            member, size, hashes, frequency = unpack_blocks(held, width=8)
             order = np.lexsort((hashes, member))
             member, size, hashes, frequency = member[order], size[order], hashes[order], frequency[order]
             opens = np.flatnonzero(np.concatenate([[True], member[1:] != member[:-1]]))
@@ -243,12 +251,14 @@ def survivors(shared: DataFrame, parts: int) -> DataFrame:
             for i in np.flatnonzero(lengths >= need).tolist():
                 span = slice(opens[i], opens[i] + lengths[i])
                 rarest = np.lexsort((hashes[span], frequency[span]))[: lengths[i] - need[i] + 1]
-                rows.append((int(member[opens[i]]), int(size[opens[i]]), hashes[span].astype("<u8").tobytes(), hashes[span][rarest].astype(np.int64)))
+                rows.append((int(member[opens[i]]), hashes[span].astype("<u8").tobytes(), hashes[span][rarest].astype(np.int64)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["digest", "n", "shingles", "short"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["digest", "shingles", "short"])
 
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-    return shared.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(work, "digest long, n int, shingles binary, short array<long>")
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    able = shared.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(work, "digest long, shingles binary, short array<long>")
+    sizes = sets.where("n_shingles > 0").groupBy("digest").agg(F.first("n_shingles").cast("int").alias("n"))
+    return able.join(sizes, "digest")
 
 
 class InvertedIndex:
@@ -263,7 +273,7 @@ class InvertedIndex:
         self.lists = lists
 
     def search(self, hashes: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
-        """Names and overlaps of the sets that link to a set of ``n`` shingles, given those it may share."""
+        """Places and overlaps of the sets that link to a set of ``n`` shingles, given those it may share."""
         need = least_overlap(n)
         lists = sorted(filter(None, map(self.lists.get, hashes.tolist())), key=len)
         if len(lists) < need:
@@ -281,14 +291,29 @@ class InvertedIndex:
                 at = bisect_left(list_, place)
                 both += at < len(list_) and list_[at] == place
             if linked(both, n, m):
-                yield self.names[place], both
+                yield place, both
+
+
+class Groups:
+    """Union-find over the places of one task's index."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
+        return x
 
 
 def find_links(pairs: DataFrame, sets: DataFrame, parts: int, per_index: int = 500, per_task: int = 5_000) -> DataFrame:
-    """``a, b``: those candidate pairs ``a, b`` (and others found on the way) that link.
+    """``a, b``: links that join everything the candidate pairs ``a, b`` join.
 
     Index classes ``b`` are dealt into buckets of about ``per_index``; a bucket
-    that more than ``per_task`` queries need is copied to as many tasks as it takes.
+    that more than ``per_task`` queries need is copied to as many tasks as it
+    takes.  A task names one link from a query to each group of index classes
+    that its earlier links haven't joined yet, so it returns at most one row
+    more for every query and every index class, however many links there are.
     """
     pairs = staged(pairs, "pairs")
     n_index = pairs.select("b").distinct().count()
@@ -305,7 +330,7 @@ def find_links(pairs: DataFrame, sets: DataFrame, parts: int, per_index: int = 5
     rows = rows.repartition(parts, "bucket", "slot").sortWithinPartitions("bucket", "slot", "asks")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, index = None, [], None
+        now, held, index, groups = None, [], None, None
         for batch in batches:
             out = []
             for bucket, slot, asks, digest, n, packed in arrow_rows(batch, "bucket", "slot", "asks", "digest", "n", "shingles"):
@@ -317,7 +342,15 @@ def find_links(pairs: DataFrame, sets: DataFrame, parts: int, per_index: int = 5
                     continue
                 if index is None:
                     index = InvertedIndex(sorted(held, key=lambda s: s[0]))
-                out += [(digest, name) for name, _ in index.search(hashes, n) if name != digest]
+                    groups = Groups(len(held))
+                roots = {}
+                for place, _ in index.search(hashes, n):
+                    if index.names[place] != digest:
+                        roots.setdefault(groups.root(place), place)
+                out += [(digest, index.names[place]) for place in roots.values()]
+                first = min(roots, default=0)
+                for r in roots:
+                    groups.parent[r] = first
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
@@ -365,9 +398,9 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = shuffle_parts(docs.sparkSession)
     sets = staged(document_sets(rows), "sets")
     total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(4 * parts, -(-total // FLUSH))
+    buckets = max(min(parts, 24), -(-total // PER_BUCKET))
     shared = shared_shingles(shingle_blocks(rows, buckets), buckets, parts)
-    able = staged(survivors(shared, parts), "survivors", compression="zstd")
+    able = staged(survivors(shared, sets, parts), "survivors", compression="zstd")
     classes = class_components(able, parts)
 
     full = sets.where("n_shingles > 0")

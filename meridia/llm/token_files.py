@@ -19,6 +19,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -124,23 +125,32 @@ class ByteLevelEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.table = ChunkTable(self._segment, **limits)
 
-    def _segment(self, chunks: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False):
+    def _segment(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of a blank and each word."""
+        for e in self.tokenizer.encode_batch_fast([" " + w for w in words], add_special_tokens=False):
             yield np.array(e.ids, "<u4").tobytes()
 
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
         if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            return self.whole(text)
         if _INNER_BLANK.search(text):
-            chunks = _CUT.split(text)
+            first, *rest = _CUT.split(text)
+            rest = [chunk[1:] for chunk in rest]
         else:
             first, *rest = text.split(" ")
-            chunks = [" " + w for w in rest]
-            if first:
-                chunks.insert(0, first)
-        return np.frombuffer(b"".join(self.table(chunks)), "<u4")
+        head = self.whole(first).tobytes() if first else b""
+        return np.frombuffer(head + b"".join(self.table(rest)), "<u4")
+
+
+@lru_cache(maxsize=2)
+def encoder_for(path: str) -> ByteLevelEncoder:
+    """One encoder a worker process, so its chunk table serves all the tasks that the process runs."""
+    return ByteLevelEncoder(path, limit=800_000)
 
 
 def write_token_shards(
@@ -161,7 +171,7 @@ def write_token_shards(
     ordered = ordered.sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteLevelEncoder(tokenizer_path)
+        encoder = encoder_for(tokenizer_path)
         width = bits_needed(max(encoder.tokenizer.get_vocab_size(), (end_id or 0) + 1))
         end = np.array([] if end_id is None else [end_id], np.uint32)
         part = TaskContext.get().partitionId()
