@@ -9,20 +9,19 @@ Documents are sets of hashed word shingles; equal sets are one class.
    ``T = ceil(0.75 n)`` of them are shared.  Of what survives, the shared
    shingles among the ``n - T + 1`` rarest form the short lists: every linked
    pair meets in one of them, however long the other lists are.
-3. *Search.*  Lists name candidate pairs; a bucket of index classes is held in
-   one task as an inverted index and its candidates stream past it.  Each query
-   heap-merges its short lists, sets aside the longest ``L`` and probes those
-   by binary search (DivideSkip), and keeps what reaches the overlap.
-4. *Components.*  First each list pairs its members with one hub only, so a
-   large group of near copies joins its hub in as many pairs as it has members.
-   Then members of one list that are still in different components are paired
-   until no such pair is untested.  Pairs inside a component need no test.
+3. *Search.*  Lists name the buckets of index classes a query has to search; a
+   bucket is held in one task as an inverted index and its queries stream past
+   it.  Each query heap-merges its short lists, sets aside the longest ``L`` and
+   probes those by binary search (DivideSkip), and keeps what reaches the overlap.
+4. *Components.*  First each list sends its members to one hub only, so a large
+   group of near copies joins its hub in as many links as it has members.  Then
+   members of lists that still span components search all the buckets that hold
+   another such member.  Lists inside one component need no search.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +42,8 @@ BITS = 40
 #: Shingles a task gathers before it sends blocks, and that a bucket holds on average.
 FLUSH = 1_000_000
 PER_BUCKET = 2_000_000
+#: Index classes and their shingles that a search bucket holds on average.
+PER_INDEX, INDEX_SHINGLES = 500, 500_000
 #: Sizes and counts travel in two bytes; larger sizes saturate, larger counts are split.
 _MOST = 65_535
 #: DivideSkip's cost ratio of probing a long list to merging it.
@@ -262,34 +263,53 @@ def survivors(shared: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
 
 
 class InvertedIndex:
-    """Inverted lists over a few index sets, searched with DivideSkip."""
+    """Inverted lists over a few index sets, searched with DivideSkip.
+
+    Shingles with the same list (runs of text that the same sets share) keep it
+    once; a query counts such a list with the number of its shingles there.
+    """
 
     def __init__(self, sets: list[tuple[int, int, np.ndarray]]):
         self.names, self.sizes = [s[0] for s in sets], [s[1] for s in sets]
-        lists: dict[int, list[int]] = {}
-        for place, (_, _, hashes) in enumerate(sets):
-            for h in hashes.tolist():
-                lists.setdefault(h, []).append(place)
-        self.lists = lists
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(s[2] for s in sets)])
+        places = np.repeat(np.arange(len(sets)), [len(s[2]) for s in sets])
+        order = np.argsort(hashes, kind="stable")
+        places = places[order]
+        self.keys, opens = np.unique(hashes[order], return_index=True)
+        lengths = np.diff(np.append(opens, len(order)))
+        signs = np.add.reduceat(mixed(places.astype(np.uint64) + np.uint64(1)), opens) if len(opens) else hashes
+        _, first, self.list_of = np.unique(signs, return_index=True, return_inverse=True)
+        self.lengths = lengths[first]
+        self.starts = np.append(0, np.cumsum(self.lengths))
+        inner = np.arange(self.starts[-1]) - np.repeat(self.starts[:-1], self.lengths)
+        self.places = places[np.repeat(opens[first], self.lengths) + inner]
+        #: List and place in one number, in ascending order: a probe of any list is one binary search.
+        self.codes = np.repeat(np.arange(len(first)), self.lengths) * len(sets) + self.places
 
     def search(self, hashes: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
         """Places and overlaps of the sets that link to a set of ``n`` shingles, given those it may share."""
         need = least_overlap(n)
-        lists = sorted(filter(None, map(self.lists.get, hashes.tolist())), key=len)
-        if len(lists) < need:
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        at = at[self.keys[at] == hashes]
+        if len(at) < need:
             return
-        aside = min(need - 1, int(need / (MU * max(1.0, np.log2(len(lists[-1]) + 1)) + 1)))
-        short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+        lists, weight = np.unique(self.list_of[at], return_counts=True)
+        order = np.argsort(self.lengths[lists], kind="stable")
+        lists, weight = lists[order], weight[order]
+        most = min(need - 1, int(need / (MU * max(1.0, np.log2(self.lengths[lists[-1]] + 1)) + 1)))
+        cut = int((np.cumsum(weight[::-1])[::-1] > most).sum())
+        aside = int(weight[cut:].sum())
+        short = [[(p, w) for p in self.places[self.starts[i] : self.starts[i + 1]].tolist()] for i, w in zip(lists[:cut].tolist(), weight[:cut].tolist())]
+        long, long_weight = lists[cut:] * len(self.sizes), weight[cut:]
         counts: dict[int, int] = {}
-        for place in heapq.merge(*short):
-            counts[place] = counts.get(place, 0) + 1
+        for place, w in heapq.merge(*short):
+            counts[place] = counts.get(place, 0) + w
         for place, both in counts.items():
             m = self.sizes[place]
             if both < need - aside or 100 * min(n, m) < PERCENT * max(n, m):
                 continue
-            for list_ in long:
-                at = bisect_left(list_, place)
-                both += at < len(list_) and list_[at] == place
+            spots = np.minimum(np.searchsorted(self.codes, long + place), len(self.codes) - 1)
+            both += int(long_weight[self.codes[spots] == long + place].sum())
             if linked(both, n, m):
                 yield place, both
 
@@ -306,25 +326,21 @@ class Groups:
         return x
 
 
-def find_links(pairs: DataFrame, sets: DataFrame, parts: int, per_index: int = 500, per_task: int = 5_000) -> DataFrame:
-    """``a, b``: links that join everything the candidate pairs ``a, b`` join.
+def find_links(queries: DataFrame, index: DataFrame, sets: DataFrame, parts: int, per_task: int = 5_000) -> DataFrame:
+    """``a, b``: links that join all that links between queries and index classes of one bucket join.
 
-    Index classes ``b`` are dealt into buckets of about ``per_index``; a bucket
-    that more than ``per_task`` queries need is copied to as many tasks as it
-    takes.  A task names one link from a query to each group of index classes
-    that its earlier links haven't joined yet, so it returns at most one row
-    more for every query and every index class, however many links there are.
+    Both tables are ``digest, bucket``.  A bucket that more than ``per_task``
+    queries need is copied to as many tasks as it takes.  A task names one link
+    from a query to each group of index classes that its earlier links haven't
+    joined yet, so it returns at most one row more for every query and every
+    index class, however many links there are.
     """
-    pairs = staged(pairs, "pairs")
-    n_index = pairs.select("b").distinct().count()
-    buckets = max(1, -(-n_index // per_index))
-    bucket = F.pmod(F.xxhash64("b"), F.lit(buckets)).cast("int").alias("bucket")
-    queries = pairs.select(F.col("a").alias("digest"), bucket).distinct()
+    queries = staged(queries.distinct(), "queries")
     copies = queries.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / per_task).cast("int").alias("copies"))
     copies = staged(copies, "copies")
     slot = F.pmod(F.xxhash64("digest", F.lit(1)), F.col("copies")).cast("int").alias("slot")
     asked = queries.join(copies, "bucket").select("digest", "bucket", slot, F.lit(1).alias("asks"))
-    index = pairs.select(F.col("b").alias("digest"), bucket).distinct().join(copies, "bucket")
+    index = index.distinct().join(copies, "bucket")
     index = index.select("digest", "bucket", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("slot"), F.lit(0).alias("asks"))
     rows = asked.unionByName(index).join(sets.select("digest", "n", "shingles"), "digest")
     rows = rows.repartition(parts, "bucket", "slot").sortWithinPartitions("bucket", "slot", "asks")
@@ -361,24 +377,44 @@ def similar_size(n: Column, m: Column) -> Column:
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
+def index_buckets(members: Column, shingles: Column) -> Column:
+    """How many buckets some index classes take, given their number and that of their shingles."""
+    return F.ceil(F.greatest(members / PER_INDEX, shingles / INDEX_SHINGLES, F.lit(1.0)))
+
+
 def class_components(sets: DataFrame, parts: int) -> DataFrame:
-    """``digest, component`` for every class that links to another."""
-    lists = staged(sets.select("digest", "n", F.explode("short").alias("shingle")), "lists")
-    hubs = lists.groupBy("shingle").agg(F.min(F.struct("digest", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    """``digest, component`` for every class that links to another.
+
+    Index classes are dealt into buckets of bounded size; it is buckets that
+    queries are sent to, so no list is ever written out as pairs.
+    """
+    shared = F.length("shingles") / 8 / F.col("n")
+    lists = staged(sets.select("digest", "n", shared.alias("shared"), F.explode("short").alias("shingle")), "lists")
+
+    # The hub of a list is the member that shares most of its shingles: of near copies the text they were made from.
+    hubs = lists.groupBy("shingle").agg(F.max(F.struct("shared", "digest", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
     met = lists.join(hubs, "shingle").where((F.col("digest") != F.col("hub.digest")) & similar_size(F.col("n"), F.col("hub.n")))
-    pairs = met.select(F.col("digest").alias("a"), F.col("hub.digest").alias("b")).distinct()
-    links = staged(find_links(pairs, sets, parts), "links")
+    pairs = staged(met.select("digest", F.col("hub.digest").alias("hub"), F.col("hub.n").alias("m")).distinct(), "pairs")
+    indexed = pairs.select("hub", "m").distinct()
+    buckets = indexed.agg(index_buckets(F.count(F.lit(1)), F.coalesce(F.sum("m"), F.lit(0))).alias("n")).first()["n"]
+    bucket = F.pmod(F.xxhash64("hub"), F.lit(buckets)).cast("long").alias("bucket")
+    links = staged(find_links(pairs.select("digest", bucket), pairs.select(F.col("hub").alias("digest"), bucket), sets, parts), "links")
     found = connected_components(links)
 
-    # What a hub didn't join: members of one list in different components, all pairs between them.
+    # What a hub didn't join: members of one list in different components.
     placed = lists.join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("label", "digest")).drop("label")
-    span = placed.groupBy("shingle").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("shingle")
-    open_ = staged(placed.join(span, "shingle"), "open")
-    other = open_.select("shingle", F.col("digest").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"))
-    cross = open_.join(other, "shingle").where((F.col("digest") < F.col("b")) & (F.col("component") != F.col("d")) & similar_size(F.col("n"), F.col("m")))
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cross.select(F.col("digest").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = staged(find_links(rest, sets, parts), "links")
+    span = placed.groupBy("shingle").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("size"))
+    open_ = staged(placed.join(span.where("c <> d").select("shingle", "members", index_buckets(F.col("members"), F.col("size")).alias("cuts")), "shingle"), "open")
+    # A class is indexed with its longest list, which is cut by digest; what shares lists thus shares buckets.
+    home = open_.groupBy("digest").agg(F.max(F.struct("members", "shingle", "cuts")).alias("home"))
+    cut = F.floor((F.col("digest") / F.lit(2.0**64) + 0.5) * F.col("home.cuts"))
+    index = staged(home.select("digest", F.xxhash64("home.shingle", cut).alias("bucket")), "index")
+    reach = open_.join(index, "digest").groupBy("shingle", "bucket").agg(
+        F.max("digest").alias("last"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("c"), F.max("component").alias("d"))
+    new = (F.col("c") != F.col("component")) | (F.col("d") != F.col("component"))
+    fits = (100 * F.col("n") >= PERCENT * F.col("least")) & (PERCENT * F.col("n") <= 100 * F.col("most"))
+    queries = open_.join(reach, "shingle").where((F.col("digest") < F.col("last")) & new & fits).select("digest", "bucket")
+    more = staged(find_links(queries, index, sets, parts), "links")
     if more.isEmpty():
         return found.select(F.col("node").alias("digest"), F.col("label").alias("component"))
     found = connected_components(links.unionByName(more))
