@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: English stop words, in the customary order.
 STOP_WORDS = (
@@ -54,7 +55,7 @@ def clean_text(c: Column) -> Column:
     return F.array_join(F.filter(words_of(letters), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w)), " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t))
 
@@ -73,6 +74,11 @@ def combine_texts(provided: Column, ocr: Column) -> Column:
     return F.trim(F.concat_ws(" ", text_or_empty(provided), F.array_join(extra, " ")))
 
 
+def confident_text(words: Column, least: float = 0.3) -> Column:
+    """Words of an ``array<struct<text, confidence>>`` that were read with enough confidence, in order."""
+    return F.array_join(F.transform(F.filter(words, lambda w: w["confidence"] >= least), lambda w: w["text"]), " ")
+
+
 def text_or_placeholder(c: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("empty text"))
 
@@ -90,7 +96,7 @@ def label_word(c: Column) -> Column:
 def parse_vector(c: Column) -> Column:
     """``"0, 1,1.0"`` to ``[0, 1, 1]``; quotes and blank items are dropped."""
     items = F.split(F.regexp_replace(text_or_empty(c), "[\"']", ""), ",")
-    return F.transform(F.filter(F.transform(items, F.trim), lambda x: x != ""), lambda x: x.cast("double").cast("int"))
+    return F.transform(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != ""), lambda x: x.cast("double").cast("int"))
 
 
 def safe_filename(c: Column) -> Column:

@@ -142,6 +142,13 @@ def sample_weight(rare: list[str], common: list[str]) -> Column:
     return out
 
 
+def warmup_cosine(step: Column, warmup: int, total: int) -> Column:
+    """Learning-rate factor: a linear rise over ``warmup`` steps, then half a cosine down to 0 at ``total``."""
+    rise = step / F.lit(max(1, warmup))
+    done = F.least(F.lit(1.0), (step - warmup) / F.lit(max(1, total - warmup)))
+    return F.when(step < warmup, rise).otherwise(0.5 * (1 + F.cos(F.pi() * done)))
+
+
 def encode_labels(df: DataFrame, label: str) -> DataFrame:
     """``<label>_index``: place among the sorted distinct labels."""
     return ordinal_encode(df, df, label).withColumnRenamed(f"{label}_level", f"{label}_index")

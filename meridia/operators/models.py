@@ -7,8 +7,10 @@ are listed in ``UNAVAILABLE`` and raise.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 from pyspark.ml import Estimator, Model, Pipeline
@@ -57,12 +59,15 @@ FAMILIES: dict[str, Family] = {
 UNAVAILABLE = {"perceptron": "online learner", "passive_aggressive": "online learner", "rbf_svc": "kernel method", "extra_tree": "single random tree", "ada_boost": "no reweighting trees"}
 
 
-def estimator(name: str, n_features: int = 0, n_classes: int = 2) -> Estimator:
-    """A fresh pipeline over ``features, label``."""
+def estimator(name: str, n_features: int = 0, n_classes: int = 2, params: dict | None = None) -> Estimator:
+    """A fresh pipeline over ``features, label``; ``params`` belong to the classifier itself."""
     if name in UNAVAILABLE:
         raise ValueError(f"{name} isn't available on Spark: {UNAVAILABLE[name]}")
     family = FAMILIES[name]
     stage = family.make()
+    tuned = stage.getClassifier() if isinstance(stage, mc.OneVsRest) else stage
+    for key, value in (params or {}).items():
+        tuned.set(tuned.getParam(key), value)
     if name == "mlp":
         stage.setLayers([n_features, max(8, n_features // 2), n_classes])
     return _scaled(stage) if family.scaled else stage
@@ -88,17 +93,36 @@ def sweep(train: DataFrame, test: DataFrame, names: Iterable[str], id_col: str,
     return out, failed
 
 
-def cross_validate(train: DataFrame, name: str, id_col: str, folds: int = 5, n_features: int = 0, n_classes: int = 2, seed: int = 42) -> list[float]:
+def cross_validate(train: DataFrame, name: str, id_col: str, folds: int = 5, n_features: int = 0, n_classes: int = 2, seed: int = 42, params: dict | None = None) -> list[float]:
     """Accuracy of each fold; folds go by a hash of the id."""
     fold = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(folds))
     scores = []
     for k in range(folds):
-        fitted = estimator(name, n_features, n_classes).fit(train.where(fold != k))
+        fitted = estimator(name, n_features, n_classes, params).fit(train.where(fold != k))
         held = fitted.transform(train.where(fold == k))
         scores.append(held.agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0])
     return scores
 
 
+def search(train: DataFrame, name: str, id_col: str, how: str = "grid", n_iter: int = 15, folds: int = 3, n_features: int = 0, n_classes: int = 2, seed: int = 42) -> tuple[dict, list[tuple[dict, float, float]]]:
+    """Best parameters of a family and every tried set with its mean and population deviation over folds.
+
+    ``none`` tries the defaults, ``grid`` the family's whole grid, ``random``
+    ``n_iter`` of its sets in a seeded order.  The first best set wins.
+    """
+    if how not in ("none", "grid", "random"):
+        raise ValueError(f"unknown search {how!r}")
+    grid = (FAMILIES[name].grid or {}) if how != "none" else {}
+    sets = [dict(zip(grid, values)) for values in product(*grid.values())]
+    if how == "random":
+        sets = sorted(sets, key=lambda s: hashlib.md5(f"{seed}:{sorted(s.items())}".encode()).hexdigest())[:n_iter]
+    tried = []
+    for params in sets:
+        scores = cross_validate(train, name, id_col, folds, n_features, n_classes, seed, params)
+        tried.append((params, float(np.mean(scores)), float(np.std(scores))))
+    return max(tried, key=lambda t: t[1])[0], tried
+
+
 def gaussian_discriminant(train: DataFrame, vector: str, label: str, quadratic: bool = False, ridge: float = 1e-3) -> dict:
     """Linear or quadratic discriminant analysis from per-class sums alone.
 

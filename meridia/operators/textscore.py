@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import unicode_tokens
 
@@ -34,7 +35,7 @@ def bleu(df: DataFrame, ref: str, hyp: str) -> DataFrame:
     return out.select(*df.columns, "bleu_1", "bleu_4")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest common subsequence of two token arrays, by rows of bits."""
 

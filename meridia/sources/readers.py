@@ -162,6 +162,26 @@ def read_class_folders(spark: SparkSession, root: str) -> DataFrame:
     return kept.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("label"), F.col("modificationTime").alias("modified"))
 
 
+def read_image_folder(spark: SparkSession, root: str, subset: str) -> DataFrame:
+    """``image_id, path`` of a flat folder's images in path order, ids ``<subset>_<place>``; none is a ``ValueError``."""
+    files = spark.read.format("binaryFile").load(root).select("path")
+    kept = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*IMAGE_EXTENSIONS))
+    if kept.isEmpty():
+        raise ValueError(f"no images in {root}")
+    place = F.row_number().over(Window.orderBy("path")) - 1  # paths alone, no content
+    return kept.select(F.concat_ws("_", F.lit(subset), place).alias("image_id"), "path")
+
+
+def same_manifest(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two ``path, label, modified`` tables list the same files in the same state."""
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def evaluation_row(table: DataFrame, model: str, ordinal: str) -> DataFrame:
+    """The first row of an evaluation table for a model's name, blanks around it aside."""
+    return table.where(F.trim("Model") == model).orderBy(ordinal).limit(1)
+
+
 def read_annotations(df: DataFrame, image_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
     """Annotations, and their sorted distinct non-null classes as a DataFrame."""
     df = schemas.require(df, [image_col, label_col]).select(F.col(image_col).alias("image"), F.col(label_col).cast("string").alias("label"))
