@@ -14,6 +14,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ from .common import arrow_rows, clipped
 
 #: The library's white-space marker.
 MARK = "▁"
+#: Characters of text whose results a task holds before it hands them on.
+FLUSH = 2_000_000
 
 COLUMNS = {
     "ids": T.ArrayType(T.IntegerType()),
@@ -82,22 +85,31 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     schema = T.StructType([rows.schema["doc_id"], *[T.StructField(c, COLUMNS[c]) for c in columns]])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model_path)
+        codec = PieceCodec(model_path, limit=300_000)
         derive = {
-            "ids": lambda ids, _: [int(i) for i in ids.split(",")] if ids else [],
+            "ids": lambda ids, _: np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32),
             "n_tokens": lambda ids, _: ids.count(",") + 1 if ids else 0,
             "ids_sha256": lambda ids, _: hashlib.sha256(ids.encode()).hexdigest(),
             "decoded": lambda _, decoded: decoded,
             "decoded_sha256": lambda _, decoded: hashlib.sha256(decoded.encode()).hexdigest(),
         }
-        kinds = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
+
+        def column(name: str, values: list) -> pa.Array:
+            if name == "ids":
+                offsets = np.cumsum([0, *map(len, values)], dtype=np.int32)
+                return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
+            return pa.array(values, pa.int64() if name == "n_tokens" else pa.string())
+
         for batch in batches:
-            out = {c: [] for c in columns}
-            for (text,) in arrow_rows(batch, "text"):
+            out, start, waiting = {c: [] for c in columns}, 0, 0
+            for i, (text,) in enumerate(arrow_rows(batch, "text"), 1):
                 found = codec(text)
                 for c in columns:
                     out[c].append(derive[c](*found))
-            arrays = [batch.column(0), *[pa.array(out[c], kinds.get(c, pa.string())) for c in columns]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *columns])
+                waiting += len(text or "")
+                if waiting >= FLUSH or i == batch.num_rows:
+                    arrays = [batch.column(0).slice(start, i - start), *[column(c, out[c]) for c in columns]]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *columns])
+                    out, start, waiting = {c: [] for c in columns}, i, 0
 
     return rows.mapInArrow(encode, schema)
