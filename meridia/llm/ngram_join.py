@@ -123,14 +123,15 @@ def linked(both: int, n: int, m: int) -> bool:
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, digest`` of every row."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.LongType())])
+    """``n_shingles, digest`` of every row, after its columns other than ``text``."""
+    others = [c for c in docs.columns if c != "text"]
+    schema = T.StructType([*[docs.schema[c] for c in others], T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(len(s), set_digest(s)) for (text,) in arrow_rows(batch, "text") for s in [shingle_set(text)]]
             if found:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in zip(*found)]], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], *[pa.array(c, pa.int64()) for c in zip(*found)]], names=schema.names)
 
     return docs.mapInArrow(work, schema)
 
@@ -421,6 +422,17 @@ def class_components(sets: DataFrame, parts: int) -> DataFrame:
     return found.select(F.col("node").alias("digest"), F.col("label").alias("component"))
 
 
+def sets_and_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The document sets of ``rows``, and ``digest, component`` of every class that links to another."""
+    parts = shuffle_parts(rows.sparkSession)
+    sets = staged(document_sets(rows), "sets")
+    total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(min(parts, 24), -(-total // PER_BUCKET))
+    shared = shared_shingles(shingle_blocks(rows, buckets), buckets, parts)
+    able = staged(survivors(shared, sets, parts), "survivors", compression="zstd")
+    return sets, class_components(able, parts)
+
+
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row.
 
@@ -430,15 +442,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component; null ids take part but name a component only where it has no
     other id.  An empty table gives an empty result.
     """
-    rows = clipped(docs, doc_id=id_col, text=text_col)
-    parts = shuffle_parts(docs.sparkSession)
-    sets = staged(document_sets(rows), "sets")
-    total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(min(parts, 24), -(-total // PER_BUCKET))
-    shared = shared_shingles(shingle_blocks(rows, buckets), buckets, parts)
-    able = staged(survivors(shared, sets, parts), "survivors", compression="zstd")
-    classes = class_components(able, parts)
-
+    sets, classes = sets_and_classes(clipped(docs, doc_id=id_col, text=text_col))
     full = sets.where("n_shingles > 0")
     least = full.groupBy("digest").agg(F.min("doc_id").alias("least"))
     least = least.join(classes, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
@@ -449,6 +453,16 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, all columns, that stay: of each component the one with the smallest id."""
-    gone = join_components(docs, id_col, text_col).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return docs.join(gone.select(F.col("doc_id").alias("__gone")), docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows, all columns, that stay: of each component one, by smallest id (nulls last), digest and text hash.
+
+    Rows are told apart by a number of their own, as ids may be null or repeat.
+    """
+    numbered = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    rows = clipped(numbered, doc_id=id_col, row="__row", text=text_col).withColumn("sign", F.xxhash64("text"))
+    sets, classes = sets_and_classes(rows)
+    full = sets.where("n_shingles > 0")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "sign", "row")
+    best = full.groupBy("digest").agg(F.min(rank).alias("best")).join(classes, "digest", "left")
+    best = best.groupBy(F.coalesce("component", "digest").alias("component")).agg(F.min("best").alias("best"))
+    gone = full.select("row").join(best.select(F.col("best.row").alias("row")), "row", "left_anti")
+    return numbered.join(gone.withColumnRenamed("row", "__row"), "__row", "left_anti").select(*[numbered[c] for c in docs.columns])

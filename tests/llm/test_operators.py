@@ -367,6 +367,24 @@ def test_join_components_odd(odd, nothing):
     assert ngram_join.drop_near_duplicates(odd).columns == odd.columns
 
 
+def test_near_duplicates_keep_one_row_of_each_component(spark):
+    base = [f"w{i}" for i in range(60)]
+
+    def near(group: str, last: str) -> str:
+        return " ".join([*(group + w for w in base), last])
+
+    rows = [
+        (1, near("a", "x"), "kept"), (None, near("a", "y"), "copy"), (None, "a clean row that has no id either", "kept"),
+        (5, near("a", "z"), "copy"), (5, "another clean text under the repeated id", "kept"),
+        (7, near("b", "x"), "one of b"), (7, near("b", "y"), "one of b"), (7, near("b", "y"), "one of b"),
+        (None, near("c", "x"), "one of c"), (None, near("c", "y"), "one of c"), (None, near("c", "Y"), "one of c"),
+        (None, "", "kept"), (None, None, "kept"), (9, "", "kept"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, what string").repartition(3)
+    got = Counter(r.what for r in ngram_join.drop_near_duplicates(docs).collect())
+    assert got == {"kept": 6, "one of b": 1, "one of c": 1}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.sets(st.integers(1, 30), min_size=1, max_size=20), min_size=1, max_size=8), st.sets(st.integers(1, 30), min_size=1, max_size=20))
 def test_divide_skip_finds_every_link(sets, query):
