@@ -19,15 +19,23 @@ def balanced_sample(df: DataFrame, id_col: str, category: str, n: int, seed: int
 
     The first ``n % k`` categories in order take one more.  A category with
     fewer rows than its quota repeats them in turn.  An empty table stays empty.
+    Null is a category.  Rows are counted per prefix of the hash, and only the
+    prefixes that can hold the quota are ranked.
     """
     check_seed(seed)
-    counts = df.groupBy(category).agg(F.count(F.lit(1)).alias("__rows"))
+    d = df.withColumn("__h", hash_order(id_col, seed)).withColumn("__p", F.substring("__h", 1, 3))
+    prefixes = d.groupBy(category, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    counts = prefixes.groupBy(category).agg(F.sum("__n").alias("__rows"))
     w = Window.partitionBy(F.lit(0))
     k, place = F.count(F.lit(1)).over(w), F.row_number().over(Window.orderBy(category))
     quota = F.floor(F.lit(n) / k) + (place <= F.lit(n) % k).cast("int")
     quotas = counts.select(category, "__rows", quota.cast("int").alias("__quota"))
-    ranked = df.join(F.broadcast(quotas), category)
-    ranked = ranked.withColumn("__k", F.row_number().over(Window.partitionBy(category).orderBy(hash_order(id_col, seed), id_col)))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(category).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    prefixes = prefixes.select(F.col(category).alias("__c"), "__p", before.alias("__before"))
+    held = prefixes.join(F.broadcast(quotas), F.col("__c").eqNullSafe(F.col(category))).where("__before < __quota").select("__c", F.col("__p").alias("__q"), "__before", "__rows", "__quota")
+    ranked = d.join(F.broadcast(held), F.col(category).eqNullSafe(F.col("__c")) & F.col("__p").eqNullSafe(F.col("__q")))
+    k = F.row_number().over(Window.partitionBy(category, "__p").orderBy("__h", id_col))
+    ranked = ranked.withColumn("__k", F.col("__before") + k)
     times = F.floor(F.col("__quota") / F.col("__rows")) + (F.col("__k") <= F.col("__quota") % F.col("__rows")).cast("int")
     out = ranked.withColumn("__times", times.cast("int")).where("__times > 0")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*df.columns, "copy")

@@ -100,6 +100,12 @@ def test_balanced_sample(spark, cats, n, want):
         sampling.balanced_sample(df, "id", "cat", n, seed=-1)
 
 
+def test_balanced_sample_takes_null_as_a_category(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2] if i % 3 else None) for i in range(60)], "id int, cat string")
+    got = {r.cat: r["count"] for r in sampling.balanced_sample(df, "id", "cat", 10).groupBy("cat").count().collect()}
+    assert got == {None: 4, "a": 3, "b": 3}
+
+
 def test_weighted_sample_draws_all_and_favours_weight(spark):
     df = spark.createDataFrame([(i, 9.0 if i == 0 else 1.0) for i in range(10)], "id int, w double")
     got = sampling.weighted_sample(df, "id", "w", 200)
