@@ -1,19 +1,19 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one on the
-words that mark toxic text.  A window (one word between two fixed frames that
-both dictionaries hold, so that a block's fixed cost cancels) is compressed
-with the ordinary dictionary and with both; the bytes that the toxic one saves
-are its gain.  A document's score is a logistic function, calibrated on
-documents the dictionaries haven't seen, of how many windows reach each step of
-absolute and relative gain.
+Two zstandard dictionaries are trained apart from each other, one on whole
+ordinary texts and one on whole toxic texts.  Windows of a text, each word and
+every three words in a row, are compressed with either; what the toxic
+dictionary saves against the ordinary one is a window's gain.  A window stands
+between two fixed frames that both dictionaries hold, so that a block's fixed
+cost cancels.  A document's features are how many of its windows reach each
+step of gain, absolute and for its length; calibration documents, which neither
+dictionary has seen, set the weights that turn them into a probability.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,17 +26,30 @@ from pyspark.sql import types as T
 from .chunk_table import ChunkTable
 from .common import arrow_rows, clipped
 
-#: ASCII letters are lower-cased before; all other ASCII ends a word.
-_TO_WORDS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+#: ASCII letters are lower-cased before; letters, digits and all beyond ASCII stay.
+_TO_WORDS = bytes(b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 HEAD, TAIL = b" this frame stands before each window: ", b" :and this one follows it."
-WINDOW = 64
-#: Gains of 2 .. 6 bytes and more, each at four shares of the window's length.
-STEPS, SHARES = 5, 4
-BINS = STEPS * SHARES + 1
+#: A run without blanks longer than this becomes windows of this many bytes, each overlapping the next by half.
+LONGEST = 64
+#: Words of a running window, and from one running window to the next.
+PHRASE, STRIDE = 3, 2
+#: Steps of gain in bytes: for single words (which must also save that share of their length) and for running windows.
+WORD_STEPS, WORD_SHARE, PHRASE_STEPS = (2, 3, 4, 5, 6, 7, 8), 0.4, (4, 6, 8, 10)
+#: Windows compressed at once.
+CHUNK = 20_000
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().translate(_TO_WORDS).split()
+def units(text: str | None) -> list[bytes]:
+    """A text's words; a run of more than ``LONGEST`` bytes as overlapping pieces."""
+    found = (text or "").lower().encode().translate(_TO_WORDS).split()
+    if not any(len(w) > LONGEST for w in found):
+        return found
+    return [w[i : i + LONGEST] for w in found for i in range(0, max(1, len(w) - LONGEST // 2), LONGEST // 2)]
+
+
+def running_windows(words: list[bytes]) -> Iterator[bytes]:
+    """Every ``PHRASE`` words, ``STRIDE`` words apart; a shorter text is one window."""
+    return (b" ".join(words[i : i + PHRASE]) for i in range(0, max(1, len(words) - PHRASE + STRIDE), STRIDE)) if words else iter(())
 
 
 def compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -45,19 +58,26 @@ def compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def train_dictionary(size: int, samples: list[bytes], segment: int) -> bytes:
-    """A trained dictionary's content, or the samples themselves where there are too few to train on."""
+def compressed_lengths(with_dictionary: zstandard.ZstdCompressor, framed: bytes, segments: bytes) -> np.ndarray:
+    made = with_dictionary.multi_compress_to_buffer(zstandard.BufferWithSegments(framed, segments))
+    return np.fromiter((len(m) for m in made), np.int64, len(made))
+
+
+def train_dictionary(size: int, texts: list[str], segment: int) -> bytes:
+    """The content trained on whole texts; the texts themselves where there are too few to train on."""
+    samples = [b" %b " % b" ".join(units(t)) for t in texts]
     try:
-        return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=segment, d=8).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
 
 @dataclass
 class ToxicityModel:
-    ordinary: bytes
-    toxic: bytes
-    level: int = 6
+    ordinary: bytes = b""
+    toxic: bytes = b""
+    word_level: int = 12
+    phrase_level: int = 6
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
     scale: np.ndarray = field(default_factory=lambda: np.ones(0))
@@ -67,32 +87,37 @@ class ToxicityModel:
 
 
 class Scorer:
-    """A model with its compressors, as one task holds them."""
+    """A model with its compressors, as one task holds them; repeated words are compressed once."""
 
     def __init__(self, model: ToxicityModel):
         self.model = model
-        self.plain = compressor(model.ordinary, model.level)
-        self.marked = compressor(model.ordinary + model.toxic, model.level)
-        self.table = ChunkTable(lambda new: map(self._bin, new))
-
-    def gain(self, window: bytes) -> int:
-        framed = b"%b %b %b" % (HEAD, window, TAIL)
-        return len(self.plain.compress(framed)) - len(self.marked.compress(framed))
-
-    def _bin(self, word: bytes) -> int:
-        """Bin of a word's best window; 0 for a gain under 2 bytes."""
-        best = 0
-        for i in range(0, len(word), WINDOW):
-            window = word[i : i + WINDOW]
-            if (g := self.gain(window)) >= 2:
-                share = min(SHARES - 1, max(0, int((g / len(window) - 0.4) / 0.15)))
-                best = max(best, 1 + (min(g, STEPS + 1) - 2) * SHARES + share)
-        return best
+        self.for_words = [compressor(c, model.word_level) for c in (model.ordinary, model.toxic)]
+        self.for_phrases = [compressor(c, model.phrase_level) for c in (model.ordinary, model.toxic)]
+        self.table = ChunkTable(lambda new: self._words(new))
+
+    @staticmethod
+    def gains(pair: list[zstandard.ZstdCompressor], windows: list[bytes]) -> np.ndarray:
+        """Bytes that the second compressor saves against the first on each window."""
+        out = []
+        for i in range(0, len(windows), CHUNK):
+            framed = [b"%b %b %b" % (HEAD, w, TAIL) for w in windows[i : i + CHUNK]]
+            lengths = np.fromiter(map(len, framed), np.uint64, len(framed))
+            segments = np.stack([np.cumsum(lengths) - lengths, lengths], 1).tobytes()
+            whole = b"".join(framed)
+            out.append(compressed_lengths(pair[0], whole, segments) - compressed_lengths(pair[1], whole, segments))
+        return np.concatenate(out or [np.zeros(0, np.int64)])
+
+    def _words(self, words: list[bytes]) -> list[int]:
+        """Gains of single words; 0 for one that doesn't save its share."""
+        gains = self.gains(self.for_words, words)
+        return np.where(gains >= WORD_SHARE * np.fromiter(map(len, words), np.int64, len(words)), gains, 0).tolist()
 
     def features(self, text: str | None) -> np.ndarray:
-        found = self.table(words(text))
-        counts = np.bincount(np.array(found, np.int64), minlength=BINS)[1:].astype(float)
-        n = len(found) + 20
+        words = units(text)
+        n = len(words) + 20
+        by_word = np.array(self.table(words), np.int64)
+        by_phrase = self.gains(self.for_phrases, list(running_windows(words)))
+        counts = np.array([(by_word >= s).sum() for s in WORD_STEPS] + [(by_phrase >= s).sum() for s in PHRASE_STEPS], float)
         return np.concatenate([[1.0, math.log(n)], np.log1p(counts), np.log1p(np.minimum(counts * 200 / n, 147))])
 
     def score(self, text: str | None) -> float:
@@ -103,19 +128,6 @@ class Scorer:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def marking_words(toxic: list[list[bytes]], ordinary: list[list[bytes]], least_z: float) -> set[bytes]:
-    """Words whose document frequency is significantly and at least four times higher in toxic documents."""
-    counts = [Counter(w for d in docs for w in set(d)) for docs in (toxic, ordinary)]
-    n1, n0 = len(toxic), len(ordinary)
-    found = set()
-    for word, k in counts[0].items():
-        p1, p0 = k / n1, counts[1][word] / n0
-        p = (k + counts[1][word]) / (n1 + n0)
-        if k >= 5 and p1 >= 4 * p0 and (p1 - p0) >= least_z * math.sqrt(p * (1 - p) * (1 / n0 + 1 / n1)):
-            found.add(word)
-    return found
-
-
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 3.0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Ridge logistic regression by Newton steps: weights, mean, scale and mean log loss."""
     mean, scale = x.mean(0), x.std(0) + 1e-3
@@ -134,50 +146,61 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 3.0, rounds: int =
     return w, mean, scale, float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
 
 
-def fit(samples: list[tuple[str, int, bool]], sizes: tuple[int, ...] = (2048, 4096), levels_z: tuple[float, ...] = (5.0, 6.0), ordinary_size: int = 8192) -> ToxicityModel:
+def fit(samples: Iterable[tuple[str, int, bool]], ordinary_size: int = 262_144, toxic_sizes: tuple[int, ...] = (16_384, 32_768, 65_536)) -> ToxicityModel:
     """Fit on ``(text, toxic, calibrates)`` samples.
 
-    The dictionaries are trained on the samples that don't calibrate; of the
-    stated sizes and significance levels of the toxic dictionary the pair with
-    the least calibrated log loss is taken, and its logistic weights are kept.
-    Without both classes on both sides the model scores every text 0.
+    Both dictionaries are trained on all the whole texts that don't calibrate;
+    of the toxic dictionary's sizes the one with the least calibrated log loss
+    is taken.  Without both classes on both sides every text scores 0.
     """
-    toxic = [words(t) for t, y, c in samples if y and not c]
-    plain = [words(t) for t, y, c in samples if not y and not c]
+    samples = list(samples)
+    toxic = [t for t, y, c in samples if y and not c]
+    plain = [t for t, y, c in samples if not y and not c]
     held = [(t, y) for t, y, c in samples if c]
     y = np.array([v for _, v in held], float)
     if not toxic or not plain or len(set(y)) < 2:
-        return ToxicityModel(b"", b"")
-    windows = [b" ".join(d[i : i + 40]) for d in plain for i in range(0, len(d), 40)]
-    ordinary = train_dictionary(ordinary_size, windows[:: max(1, len(windows) // 20_000)], 48)
+        return ToxicityModel()
+    ordinary = train_dictionary(ordinary_size, plain, 12)
     tried = []
-    for least_z in levels_z:
-        marks = marking_words(toxic, plain, least_z)
-        texts = [b" %b " % b" ".join(w for w in d if w in marks) for d in toxic]
-        texts = [t for t in texts if t.strip()]
-        for size in sizes if texts else ():
-            model = ToxicityModel(ordinary, train_dictionary(size, texts, 32))
-            scorer = model.scorer()
-            x = np.array([scorer.features(t) for t, _ in held])
-            model.weights, model.mean, model.scale, loss = fit_logistic(x, y)
-            tried.append((loss, len(tried), model))
-    return min(tried)[2] if tried else ToxicityModel(b"", b"")
-
-
-def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (4000, 2000), seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+    for size in toxic_sizes:
+        model = ToxicityModel(ordinary, train_dictionary(size, toxic, 10))
+        scorer = model.scorer()
+        x = np.array([scorer.features(t) for t, _ in held])
+        model.weights, model.mean, model.scale, loss = fit_logistic(x, y)
+        tried.append((loss, len(tried), model))
+    return min(tried)[2]
+
+
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    per_class: tuple[int, int] = (4000, 2000),
+    max_chars: int = 40_000_000,
+    longest: int = 1_000_000,
+    seed: int = 5,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> ToxicityModel:
     """Fit on a bounded sample of labelled documents.
 
     ``labels`` has ``doc_id, toxic``.  About ``per_class`` documents with label
-    0 and 1 are chosen by a hash of their ids, two fifths of them to calibrate.
-    Rows without a label are left out.
+    0 and 1, of about ``max_chars`` characters a class at most and ``longest``
+    each, are chosen by a hash of their ids, two fifths of them to calibrate.
+    Rows without a label, and labels without a document, are left out; of
+    several labels of an id the highest counts, and every row of a repeated id
+    is a sample.  Null and empty texts are samples without a window.  Without
+    both classes the model scores every text 0.
     """
-    known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
-    share = share.select("toxic", F.least(F.lit(1.0), F.when(F.col("toxic") == 1, F.lit(float(per_class[1]))).otherwise(F.lit(float(per_class[0]))) / F.col("n")).alias("share"))
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = clipped(docs, doc_id=id_col, text=text_col)
+    sized = rows.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).where(F.col("chars") <= longest)
+    share = known.join(sized, "doc_id").groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    most = F.when(F.col("toxic") == 1, F.lit(float(per_class[1]))).otherwise(F.lit(float(per_class[0])))
+    share = share.select("toxic", F.least(F.lit(1.0), most / F.col("n"), F.lit(float(max_chars)) / F.greatest(F.col("chars"), F.lit(1))).alias("share"))
     u = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), F.lit(1_000_000)) / 1e6
     chosen = known.join(F.broadcast(share), "toxic").where(u < F.col("share")).select("doc_id", "toxic", (u > 0.6 * F.col("share")).alias("calibrates"))
-    rows = clipped(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id")
-    picked = rows.select("doc_id", "text", "toxic", "calibrates").collect()  # at most about sum(per_class) documents
+    rows = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= longest).join(F.broadcast(chosen), "doc_id")
+    picked = rows.select("doc_id", "text", "toxic", "calibrates").collect()  # about sum(per_class) documents, 2 * max_chars characters
     picked.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     return fit([(r["text"], int(r["toxic"]), r["calibrates"]) for r in picked])
 
@@ -186,7 +209,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     """``doc_id, score, predicted`` for every row, whole texts, no shuffle.
 
     The score lies in [0, 1]; ``predicted`` is 1 from ``threshold`` up.  Null
-    and empty texts get the score of a text without a gain.
+    and empty texts get the score of a text without a window, repeated rows
+    equal scores, and an empty table gives an empty result.
     """
     rows = clipped(docs, doc_id=id_col, text=text_col)
     schema = T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

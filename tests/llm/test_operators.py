@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -268,6 +269,32 @@ def test_toxicity_odd(spark, odd, nothing):
         assert toxicity.score_toxicity(nothing, model).count() == 0
 
 
+def test_toxicity_score_is_that_of_a_plain_scorer():
+    model = toxicity.fit([(t, y, i % 3 == 0) for i, t, y in toxic_corpus()], toxic_sizes=(4096,))
+    assert len(model.weights) and model.toxic != model.ordinary
+
+    def size(content, level, window):
+        held = zstandard.ZstdCompressionDict(content + toxicity.HEAD + toxicity.TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(level=level)
+        c = zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(c.compress(toxicity.HEAD + b" " + window + b" " + toxicity.TAIL))
+
+    def gain(window, level):
+        return size(model.ordinary, level, window) - size(model.toxic, level, window)
+
+    for text in ("", None, "vilething", *[r[1] for r in toxic_corpus(8)], "Straße 7 " + "x" * 100):
+        words = re.sub("[^a-z0-9\x80-\U0010ffff]+", " ", (text or "").lower()).split()
+        words = [p for w in (w.encode() for w in words) for p in ([w] if len(w) <= 64 else [w[i : i + 64] for i in range(0, len(w) - 32, 32)])]
+        gains = [g if g >= 0.4 * len(w) else 0 for w in words for g in [gain(w, 12)]]
+        windows = [b" ".join(words[i : i + 3]) for i in range(len(words)) if i % 2 == 0 and (i == 0 or i + 1 < len(words))]
+        more = [gain(w, 6) for w in windows]
+        counts = [sum(g >= s for g in gains) for s in range(2, 9)] + [sum(g >= s for g in more) for s in (4, 6, 8, 10)]
+        n = len(words) + 20
+        x = [1, math.log(n), *[math.log(1 + c) for c in counts], *[math.log(1 + min(c * 200 / n, 147)) for c in counts]]
+        z = sum(w * (v - m) / s for w, v, m, s in zip(model.weights, x, model.mean, model.scale))
+        assert model.scorer().score(text) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
 # class language model
 
 
