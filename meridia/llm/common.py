@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,6 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="meridia-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -39,6 +42,16 @@ def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more; any other table is left alone."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        jvm = spark._jvm.org.apache.hadoop.fs
+        table = jvm.Path(file).getParent()
+        if table.getParent().getName() == jvm.Path(shared_folder(spark)).getName() and re.fullmatch(r"[a-z-]+-[0-9a-f]{32}", table.getName()):
+            table.getFileSystem(spark._jsc.hadoopConfiguration()).delete(table, True)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -50,8 +50,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model, rare_counts = class_lm.train(docs.where(~in_fold(docs["doc_id"], 7, 2)).select("text"))
-    scored = class_lm.score_documents(docs, model, rare_counts)
+    scored = class_lm.train_and_score(docs, ~in_fold(docs["doc_id"], 7, 2))
     return scored.withColumn("held_out", in_fold(scored["doc_id"], 7, 2))
 
 

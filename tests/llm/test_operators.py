@@ -298,9 +298,116 @@ def test_toxicity_score_is_that_of_a_plain_scorer():
 # class language model
 
 
-def test_class_lm_base_and_probabilities(spark, odd):
-    held = odd.where("doc_id = 8 or doc_id = 10")
-    model, rare = class_lm.train(odd.where("doc_id is null or doc_id not in (8, 10)").select("text"), n_core=5, n_lexicon=12, n_classes=5)
+def babble(n_docs, n_words, seed=1):
+    """Two made-up languages whose words are drawn by rank, in documents of one language each."""
+    rng = np.random.default_rng(seed)
+    p = 1 / np.arange(1, n_words + 1)
+    words = [[f"{'ab'[k]}{i:x}{'on'[k]}" for i in range(n_words)] for k in range(2)]
+    return [" ".join(words[i % 2][j] for j in rng.choice(n_words, 120, p=p / p.sum())) for i in range(n_docs)]
+
+
+def plain_scores(texts, learns, model, rare):
+    """Scores by a model's classes alone: transitions and emissions counted anew, word by word."""
+    n, lex = model.n_classes, model.lexicon
+    known = {w: int(model.classes[i]) for i, w in enumerate(lex.words, 1)} | {w: c for w, (c, _) in rare.items()}
+    ending = {e: int(model.classes[i]) for i, e in enumerate(lex.endings, 1 + len(lex.words))}
+    other = int(model.classes[-1])
+
+    def class_of(w):
+        return known[w] if w in known else next((ending[w[-k:]] for k in (4, 3, 2, 1) if w[-k:] in ending), other)
+
+    docs = [class_lm.tokens(t) for t in texts]
+    counts = Counter(w for d, y in zip(docs, learns) if y for w in d)
+    assert {w: n for w, (_, n) in rare.items()} == {w: n for w, n in counts.items() if w not in set(lex.words)}
+    tri, mass, kinds = np.zeros((n, n, n)), np.zeros(n), np.zeros(n)
+    for d, y in zip(docs, learns):
+        c = [0, 0, *map(class_of, d), 0]
+        if y:
+            mass[0] += 1
+            for x in zip(c, c[1:], c[2:]):
+                tri[x] += 1
+    kinds[0] = 1
+    for w, k in counts.items():
+        mass[known[w]] += k
+        kinds[known[w]] += 1
+    once, twice = (sum(v == k for v in counts.values()) for k in (1, 2))
+    d = once / (once + 2 * twice) if once else 0.5
+    uni = [(tri[:, :, c].sum() + 1 / n) / (tri.sum() + 1) for c in range(n)]
+
+    def step(a, b, c):
+        bi = (tri[:, b, c].sum() + 2 * uni[c]) / (tri[:, b].sum() + 2)
+        return (tri[a, b, c] + 2 * bi) / (tri[a, b].sum() + 2)
+
+    out = []
+    for words in docs:
+        c, total = [0, 0, *map(class_of, words), 0], 0.0
+        for i, w in enumerate([*words, None]):
+            a, b, own = c[i : i + 3]
+            if w is None or w in counts:
+                total += math.log10(step(a, b, own) * ((counts[w] if w is not None else mass[0]) - d) / mass[own])
+            else:
+                total += math.log10(sum(step(a, b, k) * d * kinds[k] / max(mass[k], 1) for k in range(n)))
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("n_docs,n_words,n_lexicon", [(24, 60, 40), (300, 2500, 700)])
+def test_class_lm_scores_match_a_plain_model(spark, n_docs, n_words, n_lexicon):
+    texts = [*babble(n_docs, n_words), "never seen", "", None]
+    learns = [i % 5 != 2 for i in range(len(texts))]
+    docs = spark.createDataFrame(list(zip(range(len(texts)), texts, learns)), "doc_id long, text string, learns boolean").repartition(3)
+    options = dict(n_lexicon=n_lexicon, n_classes=7, n_seed=20)
+    model, rare = class_lm.train(docs.where("learns"), **options)
+    table = {bytes(r.word): (r.c, r.n) for r in rare.collect()}
+    assert table and len(set(model.classes.tolist())) > 2 and model.sweeps >= 1
+    want = plain_scores(texts, learns, model, table)
+    for got in (class_lm.score_documents(docs, model, rare), class_lm.train_and_score(docs, F.col("learns"), **options)):
+        assert np.allclose([r.score for r in got.orderBy("doc_id").collect()], want, atol=1e-6)
+
+
+def test_class_lm_sweeps_move_every_word_and_raise_the_likelihood(spark):
+    texts = babble(400, 3000)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    model, rare = class_lm.train(docs, n_lexicon=1500, n_classes=5, n_seed=10)
+    seeded, _ = class_lm.train(docs, n_lexicon=1500, n_classes=5, n_seed=10, sweeps=1)
+    classes = {w: int(c) for w, c in zip(model.lexicon.words, model.classes[1:])} | {bytes(r.word): r.c for r in rare.collect()}
+    assert len(classes) == len({w for t in texts for w in t.split()}) and model.sweeps > 1
+    first = {w: int(c) for w, c in zip(seeded.lexicon.words, seeded.classes[1:])}
+    assert any(first[w] != classes[w] for w in first)
+
+    def value(of):
+        between = np.zeros((5, 5))
+        for t in texts:
+            c = [0, *(of.get(w, 1) for w in class_lm.tokens(t)), 0]
+            np.add.at(between, (c[:-1], c[1:]), 1)
+        return class_lm.likelihood(between)
+
+    lexicon = {w: classes[w] for w in first}
+    assert value(lexicon) > value(first) and value(classes) > value(lexicon)
+    # Words of one language share their classes with few words of the other.
+    of = defaultdict(Counter)
+    for t in texts:
+        for w in class_lm.tokens(t):
+            of[classes[w]][w[:1]] += 1
+    assert sum(max(c.values()) for c in of.values()) > 0.95 * sum(sum(c.values()) for c in of.values())
+
+
+def test_best_classes_against_the_likelihood():
+    rng = np.random.default_rng(5)
+    member = rng.integers(1, 4, 40)
+    bigrams = rng.poisson(30, (40, 40)) * (1 + 3 * (member[:, None] == member[None, :]))
+    classes = np.where(np.arange(40) == 0, 0, member)
+    between = lambda c: np.array([[bigrams[np.ix_(c == i, c == j)].sum() for j in range(5)] for i in range(5)], float)
+    sides = [np.array([[x[w][classes == c].sum() for c in range(5)] for w in range(40)]) for x in (bigrams.T, bigrams)]
+    got = class_lm.best_classes(*sides, classes, between(classes))
+    for w in range(1, 40):
+        moved = [class_lm.likelihood(between(np.where(np.arange(40) == w, c, classes))) for c in range(1, 4)]
+        assert got[w] == 1 + int(np.argmax(moved))
+
+
+def test_class_lm_base_and_odd_rows(spark, odd, nothing):
+    learned = odd.where("doc_id is null or doc_id not in (8, 10)")
+    model, rare = class_lm.train(learned, n_lexicon=12, n_classes=5, n_seed=5)
     counts = Counter(w for r in ROWS if r[0] not in (8, 10) for w in [*WORD.findall(low(r[1])), None])
     total, kinds = sum(counts.values()), len(counts)
     got = class_lm.score_documents(odd, model, rare).collect()
@@ -309,24 +416,21 @@ def test_class_lm_base_and_probabilities(spark, odd):
         words = [*WORD.findall(low(r[1])), None]
         want[r[0], len(words), sum(counts[w] > 0 for w in words), round(sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in words), 4)] += 1
     assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 4)) for r in got) == want
-    assert all(r.train_tokens == total and r.score < 0 for r in got) and held.count() == 3
+    assert all(r.train_tokens == total and r.score < 0 for r in got)
     assert np.allclose(np.power(10.0, model.log_next).sum(2), 1.0)
-
-
-def test_class_lm_emissions_sum_to_one():
-    model = class_lm.ClassModel(None, np.zeros((1, 1, 1)), np.array([10.0]), np.array([3.0]), 0.4, 1, 10, 3)
-    seen = np.power(10.0, model.emission(np.array([5, 3, 2]), np.zeros(3, int))).sum()
-    assert seen + 10 ** model.emission(np.array([0]), np.array([0]))[0] == pytest.approx(1.0)
+    assert class_lm.score_documents(nothing, model, rare).count() == 0
+    none, no_words = class_lm.train(nothing)
+    assert class_lm.score_documents(odd, none, no_words).count() == len(ROWS)
 
 
 def test_exchange_separates_two_languages():
     bigrams = np.zeros((10, 10))
-    for block in (range(2, 6), range(6, 10)):
+    for block in (range(1, 5), range(5, 9)):
         for i in block:
             for j in block:
                 bigrams[i, j] = 5 + (i + j) % 3
-    classes = class_lm.exchange(bigrams, 4)
-    assert len(set(classes[2:6])) == 1 == len(set(classes[6:])) and classes[2] != classes[6]
+    classes = class_lm.exchange(bigrams, 3)
+    assert len(set(classes[1:5])) == 1 == len(set(classes[5:9])) and classes[1] != classes[5] and classes[0] == 0 and classes[9] == 3
 
 
 def test_class_lm_empty(spark, nothing):
