@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import SUBTYPES
+from .binding import once
 from .text import REFUSAL_PHRASES, text_or_empty
 
 _INNER_OBJECT = r"(?s)(\{[^{}]*\})"
@@ -46,18 +47,14 @@ def extract_label(answer: Column, labels: list[str]) -> Column:
 
 def extract_subtypes(answer: Column, labels: tuple[str, ...] = SUBTYPES) -> Column:
     """Array of 0/1 per label: JSON with a boolean or number under some label, else ``none``, else label words."""
-    value = _object(answer)
-    flags = [_flag(value, x) for x in labels]
-    low = F.lower(text_or_empty(answer))
-    words = [(~low.rlike(r"\bnone\b") & low.rlike(_word(x))).cast("int") for x in labels]
-    usable = F.coalesce(*flags).isNotNull()
-    return F.when(usable, F.array(*[F.coalesce(f, F.lit(0)) for f in flags])).otherwise(F.array(*words))
+    flags = once(_object(answer), lambda value: F.array(*[_flag(value, x) for x in labels]))
+    words = once(F.lower(text_or_empty(answer)), lambda low: F.array(*[(~low.rlike(r"\bnone\b") & low.rlike(_word(x))).cast("int") for x in labels]))
+    return once(flags, lambda f: F.when(F.exists(f, lambda x: x.isNotNull()), F.transform(f, lambda x: F.coalesce(x, F.lit(0)))).otherwise(words))
 
 
 def extract_joint(answer: Column, labels: tuple[str, ...] = ("misogynous", *SUBTYPES)) -> Column:
     """As ``extract_subtypes`` with JSON only: anything else is all zeros."""
-    value = _object(answer)
-    return F.array(*[F.coalesce(_flag(value, x), F.lit(0)) for x in labels])
+    return once(_object(answer), lambda value: F.array(*[F.coalesce(_flag(value, x), F.lit(0)) for x in labels]))
 
 
 def parse_status(answer: Column, labels: tuple[str, ...] = SUBTYPES) -> Column:

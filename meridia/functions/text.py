@@ -50,9 +50,13 @@ def clean_text(c: Column) -> Column:
 
     Punctuation goes before the stop words are looked up, so ``don't`` stays as ``dont``.
     """
+    return F.array_join(clean_words(c), " ")
+
+
+def clean_words(c: Column) -> Column:
+    """The words of ``clean_text``; a list this long becomes a hash set in the plan."""
     letters = F.regexp_replace(strip_urls(F.lower(c)), r"[^a-zA-Z\s]", "")
-    stop = F.lit(STOP_WORDS)
-    return F.array_join(F.filter(words_of(letters), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w)), " ")
+    return F.filter(words_of(letters), lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
 
 
 @F.pandas_udf(T.StringType())

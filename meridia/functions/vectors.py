@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import once
+
 
 def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
@@ -20,7 +22,7 @@ def norm(a: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """Null elements for a zero vector, never an error."""
-    return F.transform(a, lambda x: F.try_divide(x.cast("double"), norm(a)))
+    return once(norm(a), lambda n: F.transform(a, lambda x: F.try_divide(x.cast("double"), n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -29,8 +31,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def softmax(a: Column) -> Column:
-    shifted = F.transform(a, lambda x: F.exp(x.cast("double") - F.array_max(a).cast("double")))
-    return F.transform(shifted, lambda x: x / _sum(shifted))
+    shifted = once(F.array_max(a).cast("double"), lambda most: F.transform(a, lambda x: F.exp(x.cast("double") - most)))
+    return once(shifted, lambda s: once(_sum(s), lambda total: F.transform(s, lambda x: x / total)))
 
 
 def argmax(a: Column) -> Column:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running_totals
+
 IOU_STEPS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 
 
@@ -84,20 +86,18 @@ def detection_counts(matches: DataFrame, truth: DataFrame) -> DataFrame:
 def average_precision(matches: DataFrame, truth: DataFrame) -> DataFrame:
     """101-point average precision per threshold; 0 without a true box.
 
-    The curve needs one order over all detections of a threshold: thresholds
-    are the partitions, and the window carries four numbers a detection.
+    Running counts are taken over ranges of the confidence order, so no task
+    holds a whole threshold.  A detection reaches the recall levels up to
+    ``floor(100 * true positives / true boxes)``; the best precision at each
+    highest level, then the best from each level up, is all the curve needs.
     """
     n = F.broadcast(truth.agg(F.count(F.lit(1)).alias("n_truth")))
-    order = Window.partitionBy("threshold").orderBy(F.desc("confidence"), "image_id", "ordinal")
-    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    curve = matches.withColumns({"ctp": F.sum("tp").over(run), "k": F.row_number().over(order)}).crossJoin(n)
-    curve = curve.withColumns({"precision": F.col("ctp") / F.col("k"), "recall": F.coalesce(F.try_divide(F.col("ctp").cast("double"), F.col("n_truth").cast("double")), F.lit(0.0))})
-    best = curve.groupBy("threshold", "recall").agg(F.max("precision").alias("precision"))
-    after = Window.partitionBy("threshold").orderBy("recall").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    envelope = best.withColumn("precision", F.max("precision").over(after))
-    levels = envelope.select("threshold").distinct().select("threshold", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("i")).withColumn("level", F.col("i") / 100.0)
-    hit = levels.join(envelope, "threshold").where(F.col("recall") >= F.col("level")).groupBy("threshold", "i").agg(F.max("precision").alias("p"))
-    return levels.join(hit, ["threshold", "i"], "left").groupBy("threshold").agg((F.sum(F.coalesce("p", F.lit(0.0))) / 101.0).alias("ap"))
+    found = matches.select("threshold", (-F.col("confidence")).alias("fall"), "image_id", "ordinal", F.col("tp").cast("long").alias("tp"), F.lit(1).cast("long").alias("one"))
+    curve = running_totals(found, ["threshold"], ["fall", "image_id", "ordinal"], {"tp": "ctp", "one": "k"}).crossJoin(n)
+    level = F.when(F.col("n_truth") > 0, F.least(F.lit(100), F.expr("100 * ctp div n_truth")))
+    best = curve.groupBy("threshold", level.cast("int").alias("level")).agg(F.max(F.col("ctp") / F.col("k")).alias("precision"))
+    upto = best.withColumn("i", F.explode(F.sequence(F.lit(0), F.coalesce("level", F.lit(0))))).groupBy("threshold", "i").agg(F.max(F.when(F.col("level").isNotNull(), F.col("precision"))).alias("p"))
+    return upto.groupBy("threshold").agg((F.sum(F.coalesce("p", F.lit(0.0))) / 101.0).alias("ap"))
 
 
 def mean_average_precision(ap: DataFrame) -> DataFrame:

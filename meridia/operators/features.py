@@ -102,18 +102,19 @@ def one_hot(df: DataFrame, train: DataFrame, column: str) -> DataFrame:
     return df.crossJoin(all_).withColumn(f"{column}_hot", hot).drop("__levels")
 
 
-def tfidf(df: DataFrame, train: DataFrame, id_col: str, words: str, max_features: int = 1000) -> DataFrame:
+def tfidf(df: DataFrame, is_train: Column, id_col: str, words: str, max_features: int = 1000) -> DataFrame:
     """``id, word, weight`` in long form: term count times ``ln((1 + n) / (1 + df)) + 1``, L2-normalised per row.
 
-    The vocabulary is the ``max_features`` most frequent training words, ties by word.
+    The vocabulary is the ``max_features`` most frequent words of the training
+    rows, ties by word.  Words are exploded and counted once; vocabulary,
+    document frequencies and weights all read those counts.
     """
-    counts = train.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    vocabulary = counts.orderBy(F.desc("n"), "word").limit(max_features).select("word")
-    pairs = train.select(id_col, F.explode(F.array_distinct(words)).alias("word"))
-    frequency = pairs.join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    n = F.broadcast(train.agg(F.count(F.lit(1)).alias("n_docs")))
-    idf = frequency.crossJoin(n).select("word", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    terms = df.select(id_col, F.explode(words).alias("word")).groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("tf"))
+    rows = df.select(id_col, is_train.alias("__train"), words)
+    terms = rows.select(id_col, "__train", F.explode(words).alias("word")).groupBy(id_col, "__train", "word").agg(F.count(F.lit(1)).alias("tf"))
+    counts = terms.where("__train").groupBy("word").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
+    vocabulary = counts.orderBy(F.desc("n"), "word").limit(max_features).select("word", "df")
+    n = rows.agg(F.count_if("__train").alias("n_docs"))
+    idf = vocabulary.crossJoin(F.broadcast(n)).select("word", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     weighted = terms.join(F.broadcast(idf), "word").withColumn("w", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return weighted.select(id_col, "word", (F.col("w") / length).alias("weight"))

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running_totals
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -128,12 +130,11 @@ def rates(df: DataFrame, by: list[str]) -> DataFrame:
 def roc_auc(df: DataFrame, by: list[str], score: str = "score", gt: str = "gt") -> DataFrame:
     """Mann-Whitney AUC with mid-ranks; null where a group has one class.
 
-    Rows are first counted per distinct score, so the ordered window runs over
-    distinct scores only.
+    Rows are first counted per distinct score, then running totals over ranges
+    of scores tell how many negatives lie below.
     """
     per = df.groupBy(*by, score).agg(F.count_if(F.col(gt) == 1).alias("p"), F.count_if(F.col(gt) == 0).alias("q"))
-    below = Window.partitionBy(*by or [F.lit(0)]).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("under", F.coalesce(F.sum("q").over(below), F.lit(0)))
+    per = running_totals(per, by, [score], {"q": "under"}, inclusive=False)
     wins = F.sum(F.col("p") * (F.col("under") + F.col("q") / 2.0))
     return per.groupBy(*by).agg(F.try_divide(wins, (F.sum("p") * F.sum("q")).cast("double")).alias("roc_auc"))
 

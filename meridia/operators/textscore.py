@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,28 +12,28 @@ from pyspark.sql import types as T
 from ..functions.text import unicode_tokens
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    last = F.size(tokens) - n + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def clipped_matches(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """Matched 1- to 4-grams of two token arrays, each counted at most as often as the reference has it."""
 
+    def one(r, h) -> list[int]:
+        r, h = list(r), list(h)
+        grams = lambda x, n: Counter(zip(*(x[i:] for i in range(n))))
+        return [(grams(r, n) & grams(h, n)).total() for n in range(1, 5)]
 
-def _clipped(ref: Column, hyp: Column) -> Column:
-    """Matched n-grams, each counted at most as often as the reference has it."""
-    count = lambda a, g: F.size(F.filter(a, lambda x: x == g))
-    return F.aggregate(F.array_distinct(hyp), F.lit(0), lambda s, g: s + F.least(count(hyp, g), count(ref, g)))
+    return pd.Series([one(r, h) for r, h in zip(ref, hyp)])
 
 
 def bleu(df: DataFrame, ref: str, hyp: str) -> DataFrame:
     """``bleu_1, bleu_4`` of texts: add-0.1 smoothed clipped precisions and brevity penalty; 0 for an empty side."""
     t = df.withColumns({"__r": unicode_tokens(F.col(ref)), "__h": unicode_tokens(F.col(hyp))})
-    t = t.withColumns({f"__{s}{n}": _grams(F.col(f"__{s}"), n) for n in range(1, 5) for s in "rh"})
-    logs = [F.log((_clipped(F.col(f"__r{n}"), F.col(f"__h{n}")) + 0.1) / (F.greatest(F.size(f"__h{n}"), F.lit(1)) + 0.1)) for n in range(1, 5)]
-    r, h = F.size("__r"), F.size("__h")
+    t = t.withColumns({"__m": clipped_matches("__r", "__h"), "__nr": F.size("__r"), "__nh": F.size("__h")})
+    logs = [F.log((F.col("__m")[n - 1] + 0.1) / (F.greatest(F.col("__nh") - (n - 1), F.lit(1)) + 0.1)) for n in range(1, 5)]
+    r, h = F.col("__nr"), F.col("__nh")
     penalty = F.when(h > r, 1.0).otherwise(F.exp(1 - r / F.greatest(h, F.lit(1))))
     some = (r > 0) & (h > 0)
-    t = t.withColumns({f"__l{n}": log for n, log in enumerate(logs, 1)})
-    mean = (F.col("__l1") + F.col("__l2") + F.col("__l3") + F.col("__l4")) / 4.0
-    out = t.withColumns({"bleu_1": F.when(some, penalty * F.exp("__l1")).otherwise(0.0), "bleu_4": F.when(some, penalty * F.exp(mean)).otherwise(0.0)})
+    mean = (logs[0] + logs[1] + logs[2] + logs[3]) / 4.0
+    out = t.withColumns({"bleu_1": F.when(some, penalty * F.exp(logs[0])).otherwise(0.0), "bleu_4": F.when(some, penalty * F.exp(mean)).otherwise(0.0)})
     return out.select(*df.columns, "bleu_1", "bleu_4")
 
 

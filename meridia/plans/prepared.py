@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, words_of
+from ..functions.text import clean_words
 from ..operators import features, sampling
 from .registry import query, rounded, table
 from .texts import CLEAN
@@ -50,13 +50,13 @@ def one_hot(spark, sf_dir):
 
 
 @query(f"""WITH d AS (SELECT doc_id, {CLEAN.format(t='text')} AS w FROM documents), x AS (SELECT doc_id, unnest(w) AS word FROM d),
-v AS (SELECT word FROM x WHERE doc_id % 5 <> 0 GROUP BY word ORDER BY count(*) DESC, word LIMIT 200), n AS (SELECT count(*) AS n FROM d WHERE doc_id % 5 <> 0),
+v AS (SELECT word FROM x WHERE doc_id % 5 <> 0 GROUP BY word ORDER BY count(*) DESC, word LIMIT 1000), n AS (SELECT count(*) AS n FROM d WHERE doc_id % 5 <> 0),
 i AS (SELECT word, ln((1 + n) / (1 + count(DISTINCT doc_id))) + 1 AS idf FROM x JOIN v USING (word), n WHERE doc_id % 5 <> 0 GROUP BY word, n),
 t AS (SELECT doc_id, word, count(*) * idf AS w FROM x JOIN i USING (word) GROUP BY doc_id, word, idf)
 SELECT doc_id, word, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM t""")
 def tfidf(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", words_of(clean_text(F.col("text"))).alias("words"))
-    return rounded(features.tfidf(d, d.where("doc_id % 5 <> 0"), "doc_id", "words", 200))
+    d = table(spark, sf_dir, "documents").select("doc_id", clean_words(F.col("text")).alias("words"))
+    return rounded(features.tfidf(d, F.col("doc_id") % 5 != 0, "doc_id", "words"))
 
 
 @query("""WITH r AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY md5('4711:' || doc_id), doc_id) AS k, count(*) OVER (PARTITION BY toxic) AS n FROM labels)

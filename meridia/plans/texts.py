@@ -50,7 +50,7 @@ def token_counts(spark, sf_dir):
 SELECT quality, word, count(*) AS n FROM w GROUP BY ALL""")
 def class_word_freq(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id")
-    words = docs.select("quality", tx.words_of(tx.clean_text(F.col("text"))).alias("words"))
+    words = docs.select("quality", tx.clean_words(F.col("text")).alias("words"))
     return profiling.word_counts(words, "words", ["quality"])
 
 
