@@ -74,6 +74,18 @@ def match_greedy(detections: DataFrame, truth: DataFrame, thresholds: list[float
     return p.join(g, "image_id", "left").mapInPandas(work, schema)
 
 
+def metrics_by_group(matches: DataFrame, truth: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """Counts and average precision of every group of images, for instance of one visibility; ``groups`` has ``image_id`` and the group."""
+    of = groups.select("image_id", group)
+    sums = matches.join(of, "image_id").groupBy(group, "threshold").agg(F.sum("tp").cast("long").alias("tp"), F.sum(1 - F.col("tp")).cast("long").alias("fp"))
+    found = truth.join(of, "image_id").groupBy(group).agg(F.count(F.lit(1)).alias("n_truth"))
+    ap = average_precision(matches.join(of, "image_id"), truth.join(of, "image_id"), [group])
+    out = sums.join(found, group, "left").na.fill(0, ["n_truth"]).join(ap, [group, "threshold"])
+    fn = F.greatest(F.lit(0), F.col("n_truth") - F.col("tp"))
+    r = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    return out.select(group, "threshold", "tp", "fp", fn.alias("fn"), r(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), r(F.col("tp"), F.col("tp") + fn).alias("recall"), "ap")
+
+
 def detection_counts(matches: DataFrame, truth: DataFrame) -> DataFrame:
     n = truth.agg(F.count(F.lit(1)).alias("n_truth"))
     sums = matches.groupBy("threshold").agg(F.sum("tp").cast("long").alias("tp"), F.sum(1 - F.col("tp")).cast("long").alias("fp"))
@@ -83,21 +95,24 @@ def detection_counts(matches: DataFrame, truth: DataFrame) -> DataFrame:
     return out.withColumns({"precision": r(tp, tp + fp), "recall": r(tp, tp + fn), "f1": r(2 * tp, 2 * tp + fp + fn)})
 
 
-def average_precision(matches: DataFrame, truth: DataFrame) -> DataFrame:
-    """101-point average precision per threshold; 0 without a true box.
+def average_precision(matches: DataFrame, truth: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """101-point average precision per threshold (and group, if columns of both tables name one); 0 without a true box.
 
     Running counts are taken over ranges of the confidence order, so no task
     holds a whole threshold.  A detection reaches the recall levels up to
     ``floor(100 * true positives / true boxes)``; the best precision at each
     highest level, then the best from each level up, is all the curve needs.
     """
-    n = F.broadcast(truth.agg(F.count(F.lit(1)).alias("n_truth")))
-    found = matches.select("threshold", (-F.col("confidence")).alias("fall"), "image_id", "ordinal", F.col("tp").cast("long").alias("tp"), F.lit(1).cast("long").alias("one"))
-    curve = running_totals(found, ["threshold"], ["fall", "image_id", "ordinal"], {"tp": "ctp", "one": "k"}).crossJoin(n)
-    level = F.when(F.col("n_truth") > 0, F.least(F.lit(100), F.expr("100 * ctp div n_truth")))
-    best = curve.groupBy("threshold", level.cast("int").alias("level")).agg(F.max(F.col("ctp") / F.col("k")).alias("precision"))
-    upto = best.withColumn("i", F.explode(F.sequence(F.lit(0), F.coalesce("level", F.lit(0))))).groupBy("threshold", "i").agg(F.max(F.when(F.col("level").isNotNull(), F.col("precision"))).alias("p"))
-    return upto.groupBy("threshold").agg((F.sum(F.coalesce("p", F.lit(0.0))) / 101.0).alias("ap"))
+    by, keys = by or [], [*(by or []), "threshold"]
+    n = truth.groupBy(*by).agg(F.count(F.lit(1)).alias("n_truth"))
+    found = matches.select(*keys, (-F.col("confidence")).alias("fall"), "image_id", "ordinal", F.col("tp").cast("long").alias("tp"), F.lit(1).cast("long").alias("one"))
+    curve = running_totals(found, keys, ["fall", "image_id", "ordinal"], {"tp": "ctp", "one": "k"})
+    curve = curve.join(n, by, "left").na.fill(0, ["n_truth"]) if by else curve.crossJoin(F.broadcast(n))
+    level = F.when(F.col("n_truth") > 0, F.least(F.lit(100), F.expr("100 * ctp div nullif(n_truth, 0)")))
+    best = curve.groupBy(*keys, level.cast("int").alias("level")).agg(F.max(F.col("ctp") / F.col("k")).alias("precision"))
+    upto = best.withColumn("i", F.explode(F.sequence(F.lit(0), F.coalesce("level", F.lit(0)))))
+    upto = upto.groupBy(*keys, "i").agg(F.max(F.when(F.col("level").isNotNull(), F.col("precision"))).alias("p"))
+    return upto.groupBy(*keys).agg((F.sum(F.coalesce("p", F.lit(0.0))) / 101.0).alias("ap"))
 
 
 def mean_average_precision(ap: DataFrame) -> DataFrame:

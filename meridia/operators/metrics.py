@@ -139,6 +139,49 @@ def roc_auc(df: DataFrame, by: list[str], score: str = "score", gt: str = "gt")
     return per.groupBy(*by).agg(F.try_divide(wins, (F.sum("p") * F.sum("q")).cast("double")).alias("roc_auc"))
 
 
+def one_vs_rest_auc(df: DataFrame, by: list[str], label: str = "label") -> DataFrame:
+    """Mean AUC over labels of long rows ``label, score, gt``, of classes against the rest or of separate labels.
+
+    Null where any label has one class only, as an undefined AUC makes the mean undefined.
+    """
+    each = roc_auc(df, [*by, label])
+    mean = F.when(F.count("roc_auc") == F.count(F.lit(1)), F.avg("roc_auc"))
+    return each.groupBy(*by).agg(mean.alias("roc_auc"), F.count(F.lit(1)).alias("n_labels"))
+
+
+def class_scores_long(df: DataFrame, scores: str, classes: list, gt: str) -> DataFrame:
+    """One row an item and class: ``label, score`` of an array of class scores and ``gt`` 1 for the item's own class."""
+    place = F.element_at(F.lit(list(classes)), F.col("at") + 1)
+    return df.select("*", F.posexplode(scores).alias("at", "score")).select(*[c for c in df.columns if c not in (scores, gt)], place.alias("label"), "score", (F.col(gt) == place).cast("int").alias("gt"))
+
+
+def sweep_metrics(rows: DataFrame, labels: list, by: list[str]) -> DataFrame:
+    """What a sweep prints a model: macro averages for more than two classes, else the positive class with its confusion.
+
+    ``rows`` has ``pred, gt``.  Confusion cells and rates are null for more than two classes.
+    """
+    if len(labels) > 2:
+        out = classification_metrics(rows, labels, by)
+        none = {c: F.lit(None).cast("long") for c in ("tp", "fn", "fp", "tn")} | {c: F.lit(None).cast("double") for c in ("fp_rate", "fn_rate")}
+        named = {"macro_precision": "precision", "macro_recall": "recall", "f1_macro": "f1"}
+        return out.withColumnsRenamed(named).withColumns(none).select(*by, "accuracy", "f1", "precision", "recall", *none)
+    each = per_label(confusion(rows, by))
+    return each.select(*by, "accuracy", F.col("f1_positive").alias("f1"), "precision", "recall", "tp", "fn", "fp", "tn", "fp_rate", "fn_rate")
+
+
+def refusal_by_category(df: DataFrame, category: str) -> DataFrame:
+    """Refused answers by category as a share of all answers of all categories, and of the category's own."""
+    each = df.groupBy(category).agg(F.count_if("refusal").alias("refused"), F.count(F.lit(1)).alias("n"))
+    whole = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    return each.select(category, "refused", "n", (F.col("refused") / whole).alias("share_of_all"), (F.col("refused") / F.col("n")).alias("refusal_rate"))
+
+
+def mean_latency(df: DataFrame, by: list[str], labels_per_answer: int = 1) -> DataFrame:
+    """Mean seconds an answer, and a label where one answer covers several."""
+    mean = F.try_divide(F.sum("latency_s"), F.count(F.lit(1)).cast("double"))
+    return df.groupBy(*by).agg(mean.alias("avg_latency_s"), (mean / F.lit(float(labels_per_answer))).alias("avg_latency_per_label_s"))
+
+
 def auc_from_confidence(df: DataFrame, by: list[str]) -> DataFrame:
     """AUC of ``p = confidence`` for prediction 1, else ``1 - confidence``; any null or a single class gives null."""
     scored = df.withColumn("score", F.when(F.col("pred") == 1, F.col("confidence")).otherwise(1 - F.col("confidence")))

@@ -41,21 +41,35 @@ def balanced_sample(df: DataFrame, id_col: str, category: str, n: int, seed: int
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*df.columns, "copy")
 
 
-def weighted_sample(df: DataFrame, id_col: str, weight: str, n: int, seed: int = 42) -> DataFrame:
+def weighted_sample(df: DataFrame, id_col: str, weight: str, n: int, seed: int = 42, rows_per_leaf: int = 20_000) -> DataFrame:
     """``n`` draws with replacement, proportional to weight; column ``draw``.
 
-    Draws fall into a hash-partitioned prefix of the cumulative weight: rows are
-    cut into 256 hash buckets, a draw first meets its bucket, then its row.
+    Rows lie on a line, each as long as its weight, in order of hash prefix and
+    id.  A draw descends by two hex digits a level, each time into the one of
+    at most 256 children that its point lies in, and meets the rows of its leaf
+    only.  Rows without a positive weight are never drawn; an empty table gives
+    no draw.
     """
     check_seed(seed)
-    d = df.where(F.col(weight) > 0).withColumn("__b", F.conv(F.substring(hash_order(id_col, seed), 1, 2), 16, 10).cast("int"))
-    sums = d.groupBy("__b").agg(F.sum(F.col(weight).cast("double")).alias("__w"))
-    order = Window.orderBy("__b")
-    sums = sums.select("__b", F.coalesce(F.sum("__w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("__from"), F.sum("__w").over(Window.partitionBy(F.lit(0))).alias("__total"))
-    inside = Window.partitionBy("__b").orderBy(id_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = d.join(F.broadcast(sums), "__b").withColumn("__to", F.col("__from") + F.sum(F.col(weight).cast("double")).over(inside))
-    rows = rows.withColumn("__low", F.col("__to") - F.col(weight).cast("double"))
+    d = df.where(F.col(weight) > 0).withColumn("__h", hash_order(id_col, seed)).withColumn("__w", F.col(weight).cast("double"))
+    levels, rows = 1, d.count()
+    while 256**levels * rows_per_leaf < rows:
+        levels += 1
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "draw")), 1, 13), 16, 10).cast("double") / float(2**52)
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw")).withColumn("__u", u)
-    hit = rows.join(F.broadcast(draws), (F.col("__u") * F.col("__total") >= F.col("__low")) & (F.col("__u") * F.col("__total") < F.col("__to")))
-    return hit.select(*df.columns, "draw")
+    total = F.broadcast(d.agg(F.sum("__w").alias("__total")))
+    at = df.sparkSession.range(n).select(F.col("id").alias("draw"), u.alias("__u")).crossJoin(total).select("draw", F.lit("").alias("__p"), (F.col("__u") * F.col("__total")).alias("__at"))
+
+    def spans(parts: DataFrame, order: str) -> DataFrame:
+        """From and to of each part within its parent; the last one has no end, so every point lies in a part."""
+        upto = Window.partitionBy("__p").orderBy(order)
+        to = F.sum("__w").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        parts = parts.withColumn("__to", to)
+        last = F.lead(F.lit(1)).over(upto).isNull()
+        return parts.withColumn("__from", F.lag("__to", 1, 0.0).over(upto)).withColumn("__to", F.when(last, F.lit(float("inf"))).otherwise(F.col("__to")))
+
+    inside = (F.col("__at") >= F.col("__from")) & (F.col("__at") < F.col("__to"))
+    for k in range(1, levels + 1):
+        parts = d.groupBy(F.substring("__h", 1, 2 * k).alias("__c")).agg(F.sum("__w").alias("__w")).withColumn("__p", F.substring("__c", 1, 2 * k - 2))
+        at = at.join(spans(parts, "__c"), "__p").where(inside).select("draw", F.col("__c").alias("__p"), (F.col("__at") - F.col("__from")).alias("__at"))
+    leaves = spans(d.withColumn("__p", F.substring("__h", 1, 2 * levels)), id_col)
+    return leaves.join(at, "__p").where(inside).select(*df.columns, "draw")

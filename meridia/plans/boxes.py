@@ -72,3 +72,15 @@ def average_precision(spark, sf_dir):
 @query(f"{AP} SELECT round(max(CASE WHEN threshold = 0.5 THEN ap END), 6) AS map50, round(avg(ap), 6) AS map50_95 FROM a")
 def mean_average_precision(spark, sf_dir):
     return rounded(detection.mean_average_precision(detection.average_precision(*_matches(spark, sf_dir))))
+
+
+@query(f"""WITH {BOXES}, v AS (SELECT *, image_id % 3 AS visibility FROM m), tr AS (SELECT image_id % 3 AS visibility, count(*) AS n_truth FROM g GROUP BY 1),
+c AS (SELECT visibility, threshold, sum(tp)::BIGINT AS tp, sum(1 - tp)::BIGINT AS fp FROM v GROUP BY 1, 2), q AS (
+  SELECT visibility, threshold, sum(tp) OVER w AS ctp, row_number() OVER w AS k FROM v WINDOW w AS (PARTITION BY visibility, threshold ORDER BY confidence DESC, image_id, ordinal ROWS UNBOUNDED PRECEDING)
+), l AS (SELECT i / 100.0::DOUBLE AS level FROM range(101) t(i)), h AS (SELECT q.visibility, threshold, level, max(ctp / k) AS p FROM q JOIN tr USING (visibility) JOIN l ON ctp / n_truth >= level GROUP BY 1, 2, 3),
+a AS (SELECT visibility, threshold, sum(p) / 101 AS ap FROM h GROUP BY 1, 2)
+SELECT c.visibility, c.threshold::DOUBLE AS threshold, tp, fp, n_truth - tp AS fn, round(tp / (tp + fp), 6) AS precision, round(tp / n_truth, 6) AS recall, round(ap, 6) AS ap FROM c JOIN tr USING (visibility) JOIN a USING (visibility, threshold)""")
+def detection_by_visibility(spark, sf_dir):
+    matches, truth = _matches(spark, sf_dir)
+    groups = truth.select("image_id", (F.col("image_id") % 3).alias("visibility"))
+    return rounded(detection.metrics_by_group(matches, truth, groups, "visibility"))

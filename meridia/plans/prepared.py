@@ -72,7 +72,9 @@ def balanced_sample(spark, sf_dir):
     return sampling.balanced_sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "lang", 50)
 
 
-@query()
+@query("""WITH r AS (SELECT doc_id, n_chars, sum(n_chars::DOUBLE) OVER (ORDER BY substr(md5('42:' || doc_id), 1, 2), doc_id ROWS UNBOUNDED PRECEDING) AS upto, sum(n_chars::DOUBLE) OVER () AS total FROM documents WHERE n_chars > 0),
+u AS (SELECT i AS draw, (('0x' || substr(md5('42:' || i), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0 AS u FROM range(100) t(i))
+SELECT doc_id, n_chars, draw FROM u JOIN r ON u * total >= upto - n_chars AND u * total < upto""")
 def weighted_sample(spark, sf_dir):
     return sampling.weighted_sample(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 100)
 

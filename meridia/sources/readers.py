@@ -33,6 +33,22 @@ def read_split(spark: SparkSession, root: str, split: str) -> DataFrame:
     return typed_samples(schemas.require(raw, ["file_name"])).withColumn("split", F.lit(split))
 
 
+class Splits:
+    """Splits by name, each read and typed once and kept in Spark's cache until ``close``."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.held = spark, root, {}
+
+    def __getitem__(self, split: str) -> DataFrame:
+        if split not in self.held:
+            self.held[split] = read_split(self.spark, self.root, split).cache()
+        return self.held[split]
+
+    def close(self) -> None:
+        while self.held:
+            self.held.popitem()[1].unpersist()
+
+
 def typed_samples(raw: DataFrame) -> DataFrame:
     """Rows of strings as ``image_id, text`` and five integer labels."""
 
@@ -45,15 +61,19 @@ def typed_samples(raw: DataFrame) -> DataFrame:
 
 
 def read_splits(spark: SparkSession, root: str, splits: str, limit: int | None = None) -> DataFrame:
-    """Comma-separated splits one after another; ``limit`` counts over all of them in that order."""
+    """Comma-separated splits one after another; ``limit`` counts over all of them, in the order of the files' rows.
+
+    A quoted split file is read in one piece, so the row numbers Spark deals
+    out within it rise in file order.
+    """
     names = [s.strip() for s in splits.split(",") if s.strip()]
-    parts = [read_split(spark, root, s).withColumn("split_no", F.lit(i)) for i, s in enumerate(names)]
+    parts = [read_split(spark, root, s).withColumns({"split_no": F.lit(i), "row_no": F.monotonically_increasing_id()}) for i, s in enumerate(names)]
     if not parts:
         raise ValueError("no split named")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return (out.orderBy("split_no", "image_id").limit(limit) if limit else out).drop("split_no")
+    return (out.orderBy("split_no", "row_no").limit(limit) if limit else out).drop("split_no", "row_no")
 
 
 def read_table(spark: SparkSession, path: str, n_rows: int | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -103,6 +123,16 @@ def read_embedding_archives(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(pattern).select("content").mapInPandas(decode, schemas.EMBEDDINGS)
 
 
+def prepared_split(train: DataFrame, validation: DataFrame, target: str = "label") -> DataFrame:
+    """Two embedding tables as one: ``image_id, vector, target, split``; vectors are image and text side by side."""
+
+    def part(df: DataFrame, name: str) -> DataFrame:
+        df = schemas.require(df, ["image_id", "img_emb", "txt_emb", target])
+        return df.select("image_id", F.concat("img_emb", "txt_emb").alias("vector"), F.col(target).alias("target"), F.lit(name).alias("split"))
+
+    return part(train, "train").unionByName(part(validation, "test"))
+
+
 def read_transcripts(spark: SparkSession, samples: DataFrame, source: str, ocr: DataFrame | None) -> DataFrame:
     """``image_id, text`` of a text source: provided, ocr or combined; no transcript gives no row for ocr."""
     from ..functions import text as tx
@@ -127,10 +157,24 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank", "nth")
 
 
+def read_result_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Result rows as the sink writes them, by model, split and task; of each the row without a filter, else the first."""
+    raw = spark.read.json(path)
+    order = Window.partitionBy("model", "split", "task").orderBy((~F.col("filter").eqNullSafe("none")).cast("int"), "filter")
+    return raw.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
+
+
+def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
+    """An embedding table as the sink writes it."""
+    return schemas.require(spark.read.parquet(path), ["image_id", "img_emb", "txt_emb", "label"])
+
+
 def read_predictions(spark: SparkSession, path: str, multilabel: bool = False) -> DataFrame:
     """A wide prediction table (``Actual`` and one column a model) in long form: ``model, row_id, actual, pred``."""
     wide = schemas.require(spark.read.csv(path, header=True), ["Actual"])
-    return long_predictions(wide.withColumn("row_id", F.monotonically_increasing_id()), multilabel)
+    if "row_id" not in wide.columns:  # a row's own number where the table has one, else its place in the file
+        wide = wide.withColumn("row_id", F.monotonically_increasing_id())
+    return long_predictions(wide.withColumn("row_id", F.col("row_id").cast("long")), multilabel)
 
 
 def long_predictions(wide: DataFrame, multilabel: bool = False) -> DataFrame:

@@ -21,10 +21,26 @@ def write_ranked(table: DataFrame, path: str, metric: str) -> None:
 
 
 def write_wide_predictions(long: DataFrame, path: str, models: list[str]) -> None:
-    """``Actual`` and one column a model."""
+    """``row_id``, ``Actual`` and one column a model, so that files can be joined by row."""
     wide = long.groupBy("row_id").pivot("model", models).agg(F.first("pred"))
     actual = long.groupBy("row_id").agg(F.first("actual").alias("Actual"))
-    actual.join(wide, "row_id").drop("row_id").write.mode("overwrite").csv(path, header=True)
+    actual.join(wide, "row_id").write.mode("overwrite").csv(path, header=True)
+
+
+def write_table(rows: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """A small report table as one CSV, sorted if asked: uncertainty, profiles, modality shares."""
+    (rows.orderBy(*order) if order else rows).coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
+def write_box_labels(truth: DataFrame, path: str) -> None:
+    """Training labels of detectors as text: per image a line ``class cx cy w h``; boxes are shares of the image."""
+    line = F.concat_ws(" ", F.col("class_id").cast("string"), *[F.col(c).cast("string") for c in ("cx", "cy", "w", "h")])
+    truth.select("image_id", line.alias("value")).write.mode("overwrite").partitionBy("image_id").text(path)
+
+
+def full_image_boxes(images: DataFrame, class_id: int = 0) -> DataFrame:
+    """One box a image that covers it whole."""
+    return images.select("image_id", F.lit(class_id).alias("class_id"), *[F.lit(v).alias(c) for c, v in (("cx", 0.5), ("cy", 0.5), ("w", 1.0), ("h", 1.0))])
 
 
 def write_embeddings(bundle: DataFrame, path: str) -> None:
