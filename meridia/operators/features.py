@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .neighbours import nearest
+
 
 def hash_order(id_col: str, seed: int) -> Column:
     """A random-looking order that any engine can reproduce and no partitioning changes."""
@@ -159,14 +161,12 @@ def smote(train: DataFrame, id_col: str, vector: str, label: str, minority, per_
     """Synthetic minority rows between a row and one of its ``k`` nearest minority neighbours.
 
     ``k`` falls to one less than the class has rows; a class of one row gives
-    none.  Neighbours are searched among the minority class only.
+    none.  Neighbours are searched among the minority class only, block against
+    block; a task sends on ``k`` of them a row.
     """
     own = train.where(F.col(label) == minority).select(id_col, vector)
-    a = own.select(F.col(id_col).alias("a"), F.col(vector).alias("u"))
-    b = F.broadcast(own.select(F.col(id_col).alias("b"), F.col(vector).alias("v")))
-    gap = F.aggregate(F.zip_with("u", "v", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    ranked = a.join(b, F.col("a") != F.col("b")).withColumn("d", gap)
-    near = ranked.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= k)
+    near = nearest(own, own, id_col, vector, k).select(F.col("q").alias("a"), F.col("id").alias("b"))
+    near = near.join(own.select(F.col(id_col).alias("a"), F.col(vector).alias("u")), "a").join(own.select(F.col(id_col).alias("b"), F.col(vector).alias("v")), "b")
     pick = near.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(per_row))))
     pick = pick.withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), "a", "i", "b")))
     one = pick.groupBy("a", "i").agg(F.min_by(F.struct("u", "v", "h"), "h").alias("p"))

@@ -45,19 +45,29 @@ def grayscale(x: np.ndarray) -> np.ndarray:
     return np.repeat(_bytes(x @ LUMA)[:, :, None], 3, 2)
 
 
-def downscale(x: np.ndarray, factor: float = 0.25) -> np.ndarray:
-    """Area average to a smaller grid and nearest-neighbour back."""
+def _shrunk(x: np.ndarray, rows: int, cols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Area averages on a smaller grid, and the grid's row and column of every pixel."""
     h, w = x.shape[:2]
-    rows, cols = max(1, int(h * factor)), max(1, int(w * factor))
     at_row, at_col = np.arange(h) * rows // h, np.arange(w) * cols // w
     sums, counts = np.zeros((rows, cols, 3)), np.zeros((rows, cols, 1))
     np.add.at(sums, (at_row[:, None], at_col[None, :]), x)
     np.add.at(counts, (at_row[:, None], at_col[None, :]), 1)
-    return _bytes(sums / counts)[at_row[:, None], at_col[None, :]]
+    return _bytes(sums / counts), at_row, at_col
+
+
+def downscale(x: np.ndarray, factor: float = 0.25) -> np.ndarray:
+    """Area average to a smaller grid and nearest-neighbour back."""
+    h, w = x.shape[:2]
+    small, at_row, at_col = _shrunk(x, max(1, int(h * factor)), max(1, int(w * factor)))
+    return small[at_row[:, None], at_col[None, :]]
 
 
 def grid_repetition(x: np.ndarray, n: int = 3) -> np.ndarray:
-    return np.tile(x, (n, n, 1))
+    """The shrunk image ``n`` times across and down, in an image of the size it had."""
+    h, w = x.shape[:2]
+    tiled = np.tile(_shrunk(x, max(1, h // n), max(1, w // n))[0], (n, n, 1))
+    rows, cols = np.arange(h) * tiled.shape[0] // h, np.arange(w) * tiled.shape[1] // w
+    return tiled[rows[:, None], cols[None, :]]
 
 
 def gradient_magnitude(x: np.ndarray) -> np.ndarray:

@@ -16,11 +16,11 @@ from pyspark.sql import types as T
 
 from ..schemas import struct
 
-ANSWER = struct("prediction string, confidence double, latency_s double, refusal boolean")
+ANSWER = struct("prediction string, confidence double, latency_s double, refusal boolean, failed boolean")
 
 
 class Inferencer(Protocol):
-    """Loads in ``open`` once a task; answers a pandas batch with the ``ANSWER`` columns."""
+    """Loads in ``open`` once a task; answers a pandas batch with the ``ANSWER`` columns but ``failed``."""
 
     def open(self) -> None: ...
 
@@ -28,16 +28,16 @@ class Inferencer(Protocol):
 
 
 def infer(df: DataFrame, inferencer: Inferencer, id_col: str) -> DataFrame:
-    """``id`` and answers; a failing batch yields null predictions marked as refusals."""
+    """``id`` and answers; a failing batch yields null predictions marked ``failed``, which are no refusals."""
     schema = T.StructType([df.schema[id_col], *ANSWER.fields])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         inferencer.open()
         for batch in batches:
             try:
-                out = inferencer.answer(batch)[[f.name for f in ANSWER.fields]]
+                out = inferencer.answer(batch).assign(failed=False)[[f.name for f in ANSWER.fields]]
             except Exception:
-                out = pd.DataFrame({"prediction": None, "confidence": 0.0, "latency_s": 0.0, "refusal": True}, index=batch.index)
+                out = pd.DataFrame({"prediction": None, "confidence": 0.0, "latency_s": 0.0, "refusal": False, "failed": True}, index=batch.index)
             out.insert(0, id_col, batch[id_col].to_numpy())
             yield out
 

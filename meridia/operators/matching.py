@@ -11,8 +11,9 @@ from ..functions.text import first_year, title_tokens
 def fuzzy_best_match(left: DataFrame, right: DataFrame, left_id: str, left_text: str, right_id: str, right_text: str, right_year: str | None = None, right_author: str | None = None) -> DataFrame:
     """Best right row per left row by token Jaccard, +0.2 for an equal year, +0.2 for the author's surname in the text.
 
-    Accepted from 0.15 with two shared tokens or 0.1 with one; ties fall to the
-    smaller right id.  Candidates come from an equi-join on tokens, counted
+    Column ``basis`` is ``overlap`` from 0.15 with two shared tokens and
+    ``fallback`` from 0.1 with one; below that a row has no match.  Ties fall to
+    the smaller right id.  Candidates come from an equi-join on tokens, counted
     before anything else is joined, so texts never meet in a cross product.
     """
     l = left.select(F.col(left_id).alias("l"), F.col(left_text).alias("lt"), title_tokens(F.col(left_text)).alias("lk"))  # noqa: E741
@@ -25,4 +26,5 @@ def fuzzy_best_match(left: DataFrame, right: DataFrame, left_id: str, left_text:
     scored = full.withColumn("score", F.col("shared") / (F.col("ln") + F.col("rn") - F.col("shared")) + bonus)
     best = scored.groupBy("l").agg(F.min_by(F.struct("r", "score", "shared"), F.struct(-F.round("score", 12), F.col("r"))).alias("b"))
     out = best.select(F.col("l").alias(left_id), F.col("b.r").alias("match_id"), F.col("b.score").alias("score"), F.col("b.shared").alias("shared"))
-    return out.where(((F.col("score") >= 0.15) & (F.col("shared") >= 2)) | (F.col("score") >= 0.1))
+    basis = F.when((F.col("score") >= 0.15) & (F.col("shared") >= 2), "overlap").when(F.col("score") >= 0.1, "fallback")
+    return out.withColumn("basis", basis).where("basis is not null")

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
+from .neighbours import nearest
+
+MOST_CONCEPTS = 10_000
 
 
 def modality_importance(df: DataFrame, values: str, width: int, by: list[str], empty_share: float = 0.0) -> DataFrame:
@@ -34,8 +37,11 @@ def mean_vectors(df: DataFrame, vector: str, by: list[str], normalize: bool = Tr
 
 
 def similarity(df: DataFrame, id_col: str, vector: str, concepts: DataFrame, name: str, concept: str) -> DataFrame:
-    """Cosine of every row with every concept; the concepts are a small table."""
-    small = F.broadcast(concepts.select(F.col(name).alias("concept"), F.col(concept).alias("cv")))
+    """Cosine of every row with every concept; the concepts (classes, prompts) are at most ``MOST_CONCEPTS``."""
+    small = concepts.select(F.col(name).alias("concept"), F.col(concept).alias("cv"))
+    if small.count() > MOST_CONCEPTS:
+        raise ValueError(f"more than {MOST_CONCEPTS} concepts; neighbours.nearest is the way for large sets")
+    small = F.broadcast(small)
     return df.select(id_col, vector).crossJoin(small).select(id_col, "concept", vx.cosine(F.col(vector), F.col("cv")).alias("cosine"))
 
 
@@ -65,14 +71,7 @@ def top_dimensions(importance: DataFrame, concepts: DataFrame, k: int) -> DataFr
 
 
 def knn_classify(queries: DataFrame, train: DataFrame, id_col: str, vector: str, label: str, k: int) -> DataFrame:
-    """Exact k-nearest-neighbour vote by Euclidean distance, ties by distance, id and smaller label.
-
-    The queries are a stated, small set.  Catalyst limits the ranking in each
-    task before the shuffle, so a task sends on ``k`` rows a query.
-    """
-    q = F.broadcast(queries.select(F.col(id_col).alias("q"), F.col(vector).alias("qv")))
-    gap = F.zip_with(F.col(vector), F.col("qv"), lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
-    far = train.join(q, F.col(id_col) != F.col("q")).select("q", F.struct(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x).alias("d"), F.col(id_col).alias("id"), F.col(label).alias("y")).alias("n"))
-    nearest = far.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("n"))).where(F.col("r") <= k)
-    votes = nearest.groupBy("q", F.col("n.y").alias("y")).agg(F.count(F.lit(1)).alias("v"))
+    """Exact k-nearest-neighbour vote by Euclidean distance, ties by distance, id and smaller label."""
+    near = nearest(queries, train, id_col, vector, k).join(train.select(F.col(id_col).alias("id"), F.col(label).alias("y")), "id")
+    votes = near.groupBy("q", "y").agg(F.count(F.lit(1)).alias("v"))
     return votes.groupBy(F.col("q").alias(id_col)).agg(F.min_by("y", F.struct(-F.col("v"), F.col("y"))).alias("pred"))

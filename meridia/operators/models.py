@@ -13,13 +13,18 @@ from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml import classification as mc
 from pyspark.ml.feature import Binarizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .features import class_weights
+from .filters import has_negative
+from .metrics import sweep_metrics
+
 
 @dataclass(frozen=True)
 class Family:
@@ -38,22 +43,22 @@ def _bernoulli() -> Estimator:
 
 
 FAMILIES: dict[str, Family] = {
-    "logistic_regression": Family(lambda: mc.LogisticRegression(maxIter=30, featuresCol="scaled"), True, grid={"regParam": [0.01, 0.1, 1.0]}),
+    "logistic_regression": Family(lambda: mc.LogisticRegression(maxIter=1000, featuresCol="scaled"), True, grid={"regParam": [0.01, 0.1, 1.0]}),
     "sgd_classifier": Family(lambda: mc.OneVsRest(classifier=mc.LinearSVC(maxIter=20, featuresCol="scaled"), featuresCol="scaled"), True, True),
     "linear_svc": Family(lambda: mc.OneVsRest(classifier=mc.LinearSVC(maxIter=30, featuresCol="scaled"), featuresCol="scaled"), True, grid={"regParam": [0.01, 0.1]}),
-    "mlp": Family(lambda: mc.MultilayerPerceptronClassifier(maxIter=30, featuresCol="scaled", seed=42), True),
+    "mlp": Family(lambda: mc.MultilayerPerceptronClassifier(maxIter=100, featuresCol="scaled", seed=42), True),
     "bernoulli_nb": Family(_bernoulli),
     "gaussian_nb": Family(lambda: mc.NaiveBayes(modelType="gaussian")),
     "multinomial_nb": Family(lambda: mc.NaiveBayes(modelType="multinomial"), grid={"smoothing": [0.1, 1.0]}),
     "complement_nb": Family(lambda: mc.NaiveBayes(modelType="complement")),
     "decision_tree": Family(lambda: mc.DecisionTreeClassifier(maxDepth=8, seed=42), grid={"maxDepth": [4, 8, 12]}),
-    "random_forest": Family(lambda: mc.RandomForestClassifier(numTrees=20, seed=42), grid={"numTrees": [50, 100]}),
+    "random_forest": Family(lambda: mc.RandomForestClassifier(numTrees=100, seed=42), grid={"numTrees": [50, 100]}),
     "gradient_boosting": Family(lambda: mc.GBTClassifier(maxIter=20, seed=42)),
     "hist_gradient_boosting": Family(lambda: mc.GBTClassifier(maxIter=20, maxBins=255, seed=42), stand_in=True),
     "xgboost": Family(lambda: mc.GBTClassifier(maxIter=30, maxDepth=6, seed=42), stand_in=True),
     "lightgbm": Family(lambda: mc.GBTClassifier(maxIter=30, maxDepth=6, maxBins=255, seed=42), stand_in=True),
-    "extra_trees": Family(lambda: mc.RandomForestClassifier(numTrees=20, subsamplingRate=1.0, seed=42), stand_in=True),
-    "bagging": Family(lambda: mc.RandomForestClassifier(numTrees=20, featureSubsetStrategy="all", seed=42)),
+    "extra_trees": Family(lambda: mc.RandomForestClassifier(numTrees=100, subsamplingRate=1.0, seed=42), stand_in=True),
+    "bagging": Family(lambda: mc.RandomForestClassifier(numTrees=100, featureSubsetStrategy="all", seed=42)),
 }
 #: Families without a distributed counterpart in Spark.
 UNAVAILABLE = {"perceptron": "online learner", "passive_aggressive": "online learner", "rbf_svc": "kernel method", "extra_tree": "single random tree", "ada_boost": "no reweighting trees"}
@@ -77,20 +82,74 @@ def with_features(df: DataFrame, vector: str, label: str) -> DataFrame:
     return df.withColumns({"features": array_to_vector(F.transform(vector, lambda x: x.cast("double"))), "label": F.col(label).cast("double")})
 
 
-def sweep(train: DataFrame, test: DataFrame, names: Iterable[str], id_col: str, n_features: int, n_classes: int) -> tuple[DataFrame | None, dict[str, str]]:
-    """Fit each family and predict the test rows: long ``model, id, gt, pred``, and why a family failed.
+#: Families that take a weight a row, for classes of uneven size.
+WEIGHTED = {"logistic_regression", "decision_tree", "random_forest", "extra_trees", "bagging", "sgd_classifier", "linear_svc"}
+#: Families that count and so take no negative feature.
+COUNTING = {"multinomial_nb", "complement_nb"}
+
+
+def balanced(train: DataFrame) -> DataFrame:
+    """Column ``weight``: ``n / (k * n_c)`` of the row's class, from the few classes' counts."""
+    weights = class_weights(train, "label").withColumnRenamed("label", "__label")
+    return train.join(F.broadcast(weights), F.col("label") == F.col("__label")).drop("__label")
+
+
+def sweep(train: DataFrame, test: DataFrame, names: Iterable[str], id_col: str, n_features: int, n_classes: int, balance: bool = False) -> tuple[DataFrame | None, dict[str, str]]:
+    """Fit each family and predict the test rows: long ``model, id, gt, pred``, and every family's status.
 
-    A failing family never ends the sweep.
+    A failing family never ends the sweep: its status tells why, and is ``OK``
+    otherwise.  Counting families are skipped where a training feature is
+    negative.  ``balance`` weighs rows by class for the families that take weights.
     """
-    out, failed = None, {}
+    train, test = (d.persist() for d in (balanced(train) if balance else train, test))
+    negative = has_negative(train.select(vector_to_array("features").alias("v")), "v") if COUNTING & set(names) else False
+    out, status = None, {}
     for name in names:
+        if negative and name in COUNTING:
+            status[name] = "SKIPPED: negative features"
+            continue
         try:
-            fitted = estimator(name, n_features, n_classes).fit(train)
+            fitted = estimator(name, n_features, n_classes, {"weightCol": "weight"} if balance and name in WEIGHTED else None).fit(train)
             rows = fitted.transform(test).select(F.lit(name).alias("model"), id_col, F.col("label").cast("int").alias("gt"), F.col("prediction").cast("int").alias("pred"))
-            out = rows if out is None else out.unionByName(rows)
+            out, status[name] = rows if out is None else out.unionByName(rows), "OK"
         except Exception as error:
-            failed[name] = f"{type(error).__name__}: {str(error).splitlines()[0][:200]}"
-    return out, failed
+            status[name] = f"FAILED: {type(error).__name__}: {str(error).splitlines()[0][:200]}"
+    for held in (train, test):
+        held.unpersist()
+    return out, status
+
+
+def sweep_table(rows: DataFrame | None, status: dict[str, str], labels: list[int]) -> DataFrame:
+    """One row a family of the sweep: ``model, status`` and its metrics, null where it didn't run."""
+    spark = rows.sparkSession if rows is not None else SparkSession.active()
+    every = spark.createDataFrame(sorted(status.items()), "model string, status string")
+    return every if rows is None else every.join(sweep_metrics(rows, labels, ["model"]), "model", "left")
+
+
+def sweep_labels(train: DataFrame, test: DataFrame, labels: list[str], name: str, id_col: str, n_features: int) -> DataFrame:
+    """One binary estimator a label: long ``id, label, gt, pred, score`` of the test rows; ``train`` and ``test`` have ``features`` and the labels."""
+    parts = []
+    for label in labels:
+        target = F.col(label).cast("double")
+        fitted = estimator(name, n_features, 2).fit(train.withColumn("label", target))
+        rows = fitted.transform(test.withColumn("label", target))
+        score = F.element_at(vector_to_array("probability"), -1) if "probability" in rows.columns else F.col("prediction")
+        parts.append(rows.select(id_col, F.lit(label).alias("label"), F.col(label).cast("int").alias("gt"), F.col("prediction").cast("int").alias("pred"), score.alias("score")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def save_model(model: Model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> Model:
+    """A saved model of whatever class it was saved as."""
+    from pyspark.ml.util import DefaultParamsReader
+
+    return DefaultParamsReader.loadParamsInstance(path, SparkSession.active())
 
 
 def cross_validate(train: DataFrame, name: str, id_col: str, folds: int = 5, n_features: int = 0, n_classes: int = 2, seed: int = 42, params: dict | None = None) -> list[float]:
@@ -123,27 +182,47 @@ def search(train: DataFrame, name: str, id_col: str, how: str = "grid", n_iter:
     return max(tried, key=lambda t: t[1])[0], tried
 
 
+def moments(rows: DataFrame, group: str, vector: str) -> dict:
+    """Count, sum and sum of outer products of the vectors of each group (null left out).
+
+    A task sends on one matrix a group, and Spark adds these up cell by cell.
+    """
+
+    def work(batches):
+        held: dict = {}
+        for batch in batches:
+            groups = batch[group].to_numpy()
+            x = np.stack(batch[vector].to_numpy()).astype(float) if len(batch) else np.zeros((0, 0))
+            for c in np.unique(groups):
+                part = x[groups == c]
+                n, s, p = held.get(c, (0, 0.0, 0.0))
+                held[c] = n + len(part), s + part.sum(0), p + part.T @ part
+        yield pd.DataFrame([(int(c), -1, float(n)) for c, (n, _, _) in held.items()] + [(int(c), i, float(v)) for c, (_, s, p) in held.items() for i, v in enumerate([*s, *p.ravel()])], columns=["g", "i", "v"])
+
+    known = rows.where(F.col(group).isNotNull() & F.col(vector).isNotNull())
+    cells = known.mapInPandas(work, "g long, i long, v double").groupBy("g", "i").agg(F.sum("v").alias("v")).collect()  # (d * d + d + 1) numbers a group
+    out: dict = {}
+    for r in cells:
+        out.setdefault(r["g"], {})[r["i"]] = r["v"]
+    found = {}
+    for g, values in out.items():
+        d = int((-1 + (1 + 4 * (len(values) - 1)) ** 0.5) / 2)
+        flat = np.array([values[i] for i in range(d + d * d)])
+        found[g] = int(values[-1]), flat[:d], flat[d:].reshape(d, d)
+    return found
+
+
 def gaussian_discriminant(train: DataFrame, vector: str, label: str, quadratic: bool = False, ridge: float = 1e-3) -> dict:
     """Linear or quadratic discriminant analysis from per-class sums alone.
 
-    Spark sums ``x`` and ``x x^T`` per class (a vector's width squared numbers a
-    class); the driver inverts the covariances.
+    Tasks sum ``x`` and ``x x^T`` per class, one matrix a task; the driver adds
+    these up and inverts the covariances.
     """
-    w = F.size(vector)
-    x = F.transform(vector, lambda v: v.cast("double"))
-    rows = train.select(F.col(label).cast("int").alias("c"), x.alias("x"), w.alias("w"))
-    n = rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w")).collect()
-    first = rows.select("c", F.posexplode("x").alias("i", "v")).groupBy("c", "i").agg(F.sum("v").alias("s")).collect()
-    outer = rows.select("c", "x", F.posexplode("x").alias("i", "u")).select("c", "i", "u", F.posexplode("x").alias("j", "v"))
-    second = outer.where("j >= i").groupBy("c", "i", "j").agg(F.sum(F.col("u") * F.col("v")).alias("s")).collect()
-    size = {r["c"]: r["n"] for r in n}
-    d = max((r["w"] for r in n), default=0)
-    mean = {c: np.zeros(d) for c in size}
-    scatter = {c: np.zeros((d, d)) for c in size}
-    for r in first:
-        mean[r["c"]][r["i"]] = r["s"] / size[r["c"]]
-    for r in second:
-        scatter[r["c"]][r["i"], r["j"]] = scatter[r["c"]][r["j"], r["i"]] = r["s"]
+    sums = moments(train.select(F.col(label).cast("int").alias("c"), vector), "c", vector)
+    size = {c: n for c, (n, _, _) in sums.items()}
+    d = max((len(s) for _, s, _ in sums.values()), default=0)
+    mean = {c: s / n for c, (n, s, _) in sums.items()}
+    scatter = {c: p for c, (_, _, p) in sums.items()}
     total = sum(size.values())
     within = {c: scatter[c] - size[c] * np.outer(mean[c], mean[c]) for c in size}
     pooled = sum(within.values()) / max(1, total - len(size)) + ridge * np.eye(d) if size else np.eye(d)
@@ -157,8 +236,6 @@ def discriminant_predict(df: DataFrame, model: dict, vector: str) -> DataFrame:
 
     @F.pandas_udf("int")
     def predict(vectors):
-        import pandas as pd
-
         x = np.stack(vectors.to_numpy()).astype(float) if len(vectors) else np.zeros((0, 0))
         classes = sorted(shared.value)
         scores = np.stack([p - 0.5 * (np.einsum("ij,jk,ik->i", x - m, inv, x - m) + det) for m, inv, det, p in (shared.value[c] for c in classes)], 1)
@@ -169,15 +246,9 @@ def discriminant_predict(df: DataFrame, model: dict, vector: str) -> DataFrame:
 
 def ridge_scores(train: DataFrame, vector: str, n_features: int, alpha: float = 1.0) -> np.ndarray:
     """Weights (intercept last) of a ridge classifier on +-1 targets ``y``, from one pass of summed products."""
-    x = F.concat(F.transform(vector, lambda v: v.cast("double")), F.array(F.lit(1.0)))
-    rows = train.select(x.alias("x"), F.col("y").cast("double").alias("y"))
-    xy = rows.select(F.posexplode("x").alias("i", "u"), "y").groupBy("i").agg(F.sum(F.col("u") * F.col("y")).alias("s")).collect()
-    xx = rows.select("x", F.posexplode("x").alias("i", "u")).select("i", "u", F.posexplode("x").alias("j", "v")).groupBy("i", "j").agg(F.sum(F.col("u") * F.col("v")).alias("s")).collect()
-    a, b = np.zeros((n_features + 1, n_features + 1)), np.zeros(n_features + 1)
-    for r in xx:
-        a[r["i"], r["j"]] = r["s"]
-    for r in xy:
-        b[r["i"]] = r["s"]
+    x = F.concat(F.transform(vector, lambda v: v.cast("double")), F.array(F.lit(1.0), F.col("y").cast("double")))
+    _, _, p = moments(train.select(F.lit(0).alias("g"), x.alias("x")), "g", "x").get(0, (0, None, np.zeros((n_features + 2,) * 2)))
+    a, b = p[:-1, :-1], p[:-1, -1]
     penalty = alpha * np.eye(n_features + 1)
     penalty[-1, -1] = 0.0
     return np.linalg.solve(a + penalty, b)

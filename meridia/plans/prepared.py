@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_words
-from ..operators import features, sampling
+from ..operators import features, preparation, sampling
 from .registry import query, rounded, table
 from .texts import CLEAN
 
@@ -98,3 +98,17 @@ def class_weights(spark, sf_dir):
 @query("SELECT doc_id, (row_number() OVER (ORDER BY 1) * 0 + dense_rank() OVER (ORDER BY lang) - 1)::INT AS lang_index FROM documents")
 def encode_labels(spark, sf_dir):
     return features.encode_labels(table(spark, sf_dir, "documents"), "lang").select("doc_id", "lang_index")
+
+
+@query(f"""WITH {GAPS}, u AS (SELECT event_id, event_id % 13 AS user, value, kind, test FROM e), m AS (SELECT median(value) AS m, median(user) AS mu FROM u WHERE NOT test),
+k AS (SELECT kind FROM u WHERE NOT test AND kind IS NOT NULL GROUP BY kind ORDER BY count(*) DESC, kind LIMIT 1),
+f AS (SELECT event_id, test, coalesce(value, m) AS v, coalesce(user, mu) AS u, coalesce(u.kind, k.kind) AS kind FROM u, m, k),
+s AS (SELECT min(v) AS lv, max(v) - min(v) AS dv, min(u) AS lu, max(u) - min(u) AS du FROM f WHERE NOT test)
+SELECT event_id, 'value' AS feature, round((v - lv) / dv, 6) AS x FROM f, s UNION ALL SELECT event_id, 'user', round((u - lu) / du, 6) FROM f, s
+UNION ALL SELECT event_id, 'kind_' || l.kind, (f.kind = l.kind)::INT::DOUBLE FROM f, (SELECT DISTINCT kind FROM f WHERE NOT test) l""")
+def column_transformer(spark, sf_dir):
+    """Numeric and categorical columns as one array with names, fitted on the training rows; in long form."""
+    e = _gaps(spark, sf_dir).withColumn("user", F.col("event_id") % 13)
+    made = preparation.prepare(e, e.where("not test"), ["value", "kind", "user"], ["event_id"], "mean", "minmax")
+    rows = made.rows.select("event_id", F.posexplode("features").alias("at", "x"))
+    return rounded(rows.select("event_id", F.element_at(F.lit(made.names), F.col("at") + 1).alias("feature"), "x"))

@@ -56,7 +56,7 @@ def prediction_table(spark, sf_dir):
     """Predictions written wide, read back long."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"), F.col("toxic").alias("actual"), F.col("quality").alias("rule"), ((F.col("quality") + F.col("toxic")) % 2).alias("xor"))
     path = scratch_path(spark, "predictions")
-    writers.write_wide_predictions(labels.unpivot(["row_id", "actual"], ["rule", "xor"], "model", "pred"), path, ["rule", "xor"])
+    writers.write_wide_predictions(labels.unpivot(["row_id", "actual"], ["rule", "xor"], "model", "pred"), path, ["rule", "xor"], with_row_id=True)
     return readers.read_predictions(spark, path)
 
 
@@ -65,7 +65,7 @@ def multilabel_prediction_table(spark, sf_dir):
     both = F.concat_ws(",", F.col("toxic"), F.col("quality")).alias("actual"), F.concat_ws(",", F.col("quality"), F.col("toxic")).alias("pred")
     rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"), *both, F.lit("swap").alias("model"))
     path = scratch_path(spark, "predictions")
-    writers.write_wide_predictions(rows, path, ["swap"])
+    writers.write_wide_predictions(rows, path, ["swap"], with_row_id=True)
     return readers.read_predictions(spark, path, multilabel=True)
 
 

@@ -219,7 +219,7 @@ s AS (SELECT a.s_suppkey, b.c_custkey, count(*) AS shared FROM (SELECT s_suppkey
 f AS (SELECT s.*, shared::DOUBLE / (len(lt.k) + len(rt.k) - shared) + CASE WHEN regexp_extract(lt.t, '\b(20\d{{2}}|19\d{{2}})\b') = regexp_extract(rt.t, '\b(20\d{{2}}|19\d{{2}})\b') AND regexp_extract(lt.t, '\b(20\d{{2}}|19\d{{2}})\b') <> '' THEN 0.2 ELSE 0 END AS score
       FROM s JOIN lt USING (s_suppkey) JOIN rt USING (c_custkey)),
 b AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY round(score, 12) DESC, c_custkey) AS rn FROM f)
-SELECT s_suppkey, c_custkey AS match_id, round(score, 6) AS score, shared FROM b WHERE rn = 1 AND ((score >= 0.15 AND shared >= 2) OR score >= 0.1)""")
+SELECT s_suppkey, c_custkey AS match_id, round(score, 6) AS score, shared, CASE WHEN score >= 0.15 AND shared >= 2 THEN 'overlap' ELSE 'fallback' END AS basis FROM b WHERE rn = 1 AND score >= 0.1""")
 def fuzzy_best_match(spark, sf_dir):
     year = lambda c: F.concat(F.lit(" 20"), (F.lit(10) + F.col(c)).cast("string"))
     left = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat("s_name", F.lit(" "), "s_nationkey", year("s_nationkey")).alias("t"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
-from ..operators import features, metrics, modality, models, uncertainty
+from ..operators import features, metrics, modality, models, neighbours, uncertainty
 from .registry import query, rounded, table
 
 DIM, IMAGE = 64, 32
@@ -49,13 +49,9 @@ def prompt_ensemble(spark, sf_dir):
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, vec_id) AS rank FROM d) SELECT q, vec_id, cosine, rank::INT AS rank FROM r WHERE rank <= 10""")
 def cosine_topk(spark, sf_dir):
     """The ten nearest rows of every query id divisible by 100."""
-    from pyspark.sql import Window
-
     e = _embeddings(spark, sf_dir)
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
-    d = modality.similarity(e, "vec_id", "embedding", q, "q", "qv").withColumnRenamed("concept", "q").where("vec_id <> q")
-    d = d.select("q", "vec_id", F.round("cosine", 6).alias("cosine"))
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "vec_id"))).where("rank <= 10")
+    near = neighbours.nearest(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 10, "cosine", places=6)
+    return near.select("q", F.col("id").alias("vec_id"), (0.0 - F.col("d")).alias("cosine"), "rank")
 
 
 @query(f"WITH {LONG}, {COS}, {SOFT} SELECT vec_id, pred, round(confidence, 6) AS confidence FROM z")
@@ -137,11 +133,10 @@ def _binary(spark, sf_dir):
 
 @query()
 def model_sweep(spark, sf_dir):
-    """Fit, predict and rank several families; rows: model and its metrics on the test split."""
-    d = _binary(spark, sf_dir).cache()
-    names = ["logistic_regression", "linear_svc", "gaussian_nb", "decision_tree", "random_forest"]
-    rows, _ = models.sweep(d.where("split = 'train'"), d.where("split = 'test'"), names, "vec_id", DIM, 2)
-    return rounded(metrics.per_label(metrics.confusion(rows, ["model"])))
+    """Fit and predict every family; a row each with its status, and its metrics on the test split where it ran."""
+    d = _binary(spark, sf_dir)
+    rows, status = models.sweep(d.where("split = 'train'"), d.where("split = 'test'"), sorted(models.FAMILIES), "vec_id", DIM, 2)
+    return rounded(models.sweep_table(rows, status, [0, 1]))
 
 
 @query()
@@ -160,13 +155,18 @@ def surrogate_fidelity(spark, sf_dir):
     return models.fidelity(tree, black_box.where("split = 'test'"))
 
 
-@query()
+@query("""WITH m AS (SELECT vec_id, embedding AS v FROM embeddings WHERE label = 0),
+d AS (SELECT a.vec_id AS a, b.vec_id AS b, a.v AS u, b.v AS w, list_sum(list_transform(list_zip(a.v, b.v), lambda z : (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d FROM m a JOIN m b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rn FROM d), p AS (SELECT a, b, u, w, i, md5('42:' || a || ':' || i || ':' || b) AS h FROM r, (SELECT unnest([1, 2]) AS i) WHERE rn <= 5),
+o AS (SELECT *, row_number() OVER (PARTITION BY a, i ORDER BY h) AS rn FROM p), t AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS t FROM o WHERE rn = 1)
+SELECT 'synthetic-' || a || '-' || i AS vec_id, round(list_sum(list_transform(list_zip(u, w), lambda z : (z[1]::DOUBLE + (z[2]::DOUBLE - z[1]::DOUBLE) * t))), 3) AS total, 0 AS label FROM t""")
 def smote(spark, sf_dir):
-    return features.smote(_embeddings(spark, sf_dir), "vec_id", "embedding", "label", 0, per_row=2)
+    made = features.smote(_embeddings(spark, sf_dir), "vec_id", "embedding", "label", 0, per_row=2)
+    return rounded(made.select("vec_id", F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")).alias("total"), "label"), 3)
 
 
 @query()
 def permutation_importance(spark, sf_dir):
     d = _binary(spark, sf_dir)
     model = models.estimator("decision_tree").fit(d.where("split = 'train'"))
-    return rounded(models.permutation_importance(model, d.where("split = 'test'"), "vec_id", DIM, repeats=1))
+    return rounded(models.permutation_importance(model, d.where("split = 'test'"), "vec_id", DIM, repeats=10))

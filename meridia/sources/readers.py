@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import io
 import os
+import warnings
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,6 +108,7 @@ def read_embedding_archives(spark: SparkSession, pattern: str) -> DataFrame:
     """NumPy archives of parallel arrays as one row an item; archives are decoded in tasks.
 
     Arrays of an archive must be of one length; a shorter one is a ``ValueError``.
+    Where no archive lies under the pattern a warning tells so, and no row comes.
     """
     names = ["image_ids", "image_embeddings", "text_embeddings", "labels", "subtask_labels", "raw_texts"]
 
@@ -120,7 +123,14 @@ def read_embedding_archives(spark: SparkSession, pattern: str) -> DataFrame:
                     raise ValueError("arrays of an archive differ in length")
                 yield pd.DataFrame(dict(zip([f.name for f in schemas.EMBEDDINGS.fields], [a.astype(str) if a.dtype.kind in "US" else list(a) if a.ndim > 1 else a for a in arrays])))
 
-    return spark.read.format("binaryFile").load(pattern).select("content").mapInPandas(decode, schemas.EMBEDDINGS)
+    try:
+        files = spark.read.format("binaryFile").load(pattern)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        warnings.warn(f"no embedding archive at {pattern}", stacklevel=2)
+        return spark.createDataFrame([], schemas.EMBEDDINGS)
+    return files.select("content").mapInPandas(decode, schemas.EMBEDDINGS)
 
 
 def prepared_split(train: DataFrame, validation: DataFrame, target: str = "label") -> DataFrame:

@@ -20,11 +20,12 @@ def write_ranked(table: DataFrame, path: str, metric: str) -> None:
     table.orderBy(F.desc_nulls_last(metric)).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def write_wide_predictions(long: DataFrame, path: str, models: list[str]) -> None:
-    """``row_id``, ``Actual`` and one column a model, so that files can be joined by row."""
+def write_wide_predictions(long: DataFrame, path: str, models: list[str], with_row_id: bool = False) -> None:
+    """``Actual`` and one column a model; with ``row_id``, files can be joined by row."""
     wide = long.groupBy("row_id").pivot("model", models).agg(F.first("pred"))
     actual = long.groupBy("row_id").agg(F.first("actual").alias("Actual"))
-    actual.join(wide, "row_id").write.mode("overwrite").csv(path, header=True)
+    rows = actual.join(wide, "row_id")
+    (rows if with_row_id else rows.drop("row_id")).write.mode("overwrite").csv(path, header=True)
 
 
 def write_table(rows: DataFrame, path: str, order: list[str] | None = None) -> None:
