@@ -52,6 +52,22 @@ def discard(df: DataFrame) -> None:
             table.getFileSystem(spark._jsc.hadoopConfiguration()).delete(table, True)
 
 
+def small_side(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A side of a join, marked for broadcast where its counted rows are at most ``most``; else Spark shuffles both sides."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores before them as it takes to be no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, clipped, staged
+from .common import SPACE, clipped, free_names, small_side, staged
 
 
 def count_words(text: Column) -> Column:
@@ -38,6 +38,9 @@ def source_targets(sizes: DataFrame, cycle: int = 3, cap: float = 3.0) -> DataFr
     ``min(cap * size, weight * level)``.  With sources in order of the level at
     which each is full, every suffix gives a level for its sources if all
     before are full; of those none of its sources is above, the highest holds.
+    A null source is one like others, a source of size 0 gets 0, and no source
+    gives no row.  Sources, one row each, pass one window: they are thousands,
+    not a host each.
     """
     ordered = Window.orderBy(F.col("source").asc_nulls_last())
     s = sizes.withColumn("weight", ((F.row_number().over(ordered) - 1) % cycle + 1).cast("double"))
@@ -117,19 +120,28 @@ def quality_weights(labels: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: whole documents, repeated once per copy taken.
+    """The mix itself: whole documents, repeated once per copy taken, all columns.
 
     A document is repeated ``round(taken / size)`` times, so complete epochs
     repeat and the document at a budget's edge is in when at least half of it
-    is.  Documents without a word take no part.
+    is.  Documents without a word, null texts too, take no part.  Copies are
+    decided on ids and sizes; the texts then meet them in one join.  Rows that
+    share an id, the null one too, share its copies evenly, the first by text
+    hash taking the remainder.  An empty table gives an empty result.
     """
-    keyed = docs.withColumn("__text", F.xxhash64(docs[text_col]))
-    taken = mix_sources(keyed, id_col, text_col, source_col, **options)
-    copies = taken.where("size > 0").groupBy("doc_id").agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("__n"), F.count(F.lit(1)).alias("__rows"))
-    copies = copies.select(F.col("doc_id").alias("__id"), "__n", "__rows").where("__n > 0")
-    here = keyed.where(count_words(keyed[text_col]) > 0).alias("d").join(copies.alias("c"), F.col(f"d.{id_col}").eqNullSafe(F.col("c.__id")))
-    # An id that several rows carry: its copies are dealt out evenly among them, the first rows taking the remainder.
-    nth = F.row_number().over(Window.partitionBy(F.col("c.__id")).orderBy("__text"))
-    share = F.floor((F.col("__n") + F.col("__rows") - nth) / F.col("__rows")).cast("int")
-    here = here.withColumn("__share", share).where("__share > 0")
-    return here.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__share")))).select(*[F.col(f"d.{c}") for c in docs.columns])
+    key, n, rows, text, share = free_names(docs, "id", "copies", "rows", "text_hash", "share")
+    taken = mix_sources(docs, id_col, text_col, source_col, **options)
+    copies = taken.where("size > 0").groupBy(F.col("doc_id").alias(key)).agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).alias(n), F.count(F.lit(1)).alias(rows))
+    copies = staged(copies.where(F.col(n) > 0), "copies")
+    here = docs.where(count_words(docs[text_col]) > 0)
+
+    def met(side: DataFrame) -> DataFrame:
+        side = small_side(side)
+        return here.join(side, here[id_col].eqNullSafe(side[key]))
+
+    single = met(copies.where(F.col(rows) == 1)).withColumn(share, F.col(n).cast("int"))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(text))
+    several = met(copies.where(F.col(rows) > 1)).withColumn(text, F.xxhash64(text_col))
+    several = several.withColumn(share, F.floor((F.col(n) + F.col(rows) - nth) / F.col(rows)).cast("int")).where(F.col(share) > 0).drop(text)
+    both = single.unionByName(several)
+    return both.withColumn(share, F.explode(F.sequence(F.lit(1), F.col(share)))).select(*[F.col(f"`{c}`") for c in docs.columns])

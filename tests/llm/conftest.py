@@ -25,7 +25,7 @@ ROWS = [
 def odd(spark):
     """Awkward rows, with extra columns whose names operators use inside."""
     df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string")
-    for name in ("size", "key", "digest", "bucket", "label", "n", "score", "kept", "range", "target", "row", "word", "id", "weight", "toxic", "rest", "shingle"):
+    for name in ("size", "key", "digest", "bucket", "label", "n", "score", "kept", "range", "target", "row", "word", "id", "weight", "toxic", "rest", "shingle", "row_number", "copies", "rows", "text_hash", "share", "found", "learns", "_id", "__digest", "__text", "__share", "__copy", "__n", "__rows", "__id", "__gone", "__row"):
         df = df.selectExpr("*", f"'x' AS `{name}`")
     return df
 
