@@ -2,7 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and read again as the next stage's ``docs``.  All but the
-last return the columns of ``documents``.
+last return the columns of ``documents``.  Empty tables pass through as empty
+ones, and columns beyond the usual ones stay as they are.
 """
 
 from __future__ import annotations
@@ -15,29 +16,29 @@ from meridia.llm.common import staged
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter and those no language's model accepts."""
+    """Drop documents without a letter (null and empty ones too) and those no language's model accepts; repeated rows alike."""
     model = language_id.train(docs.select("doc_id", "lang", "text"))
     return language_id.keep_identified(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest id stays."""
+    """Of equal texts the smallest id stays, a null id only where there is no other; of repeated rows one stays."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that links of Jaccard 0.75 over five-word shingles join, the smallest id stays."""
+    """Of texts that links of Jaccard 0.75 over five-word shingles join, the smallest id stays; texts without a word link with nothing."""
     return ngram_join.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, repeated or left out so that sources meet their target weights."""
+    """Whole documents, repeated or left out so that sources meet their target weights; a null source is one of its own."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return mixing.mixed_documents(docs, quality=mixing.quality_weights(labels))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix, with the text they decode to."""
+    """Token ids of every document of the mix, with the text they decode to; a null text has no id."""
     path = public_tokenizers.path("piece_bpe_32k.model")
     return pieces.encode_pieces(docs, path, columns=("n_tokens", "ids", "decoded_sha256"))
 
