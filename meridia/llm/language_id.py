@@ -213,7 +213,9 @@ def train(rows: DataFrame, per_language: int = 1000, seed: int = 11, margin: flo
     At most about ``per_language`` documents of each language are used: four
     fifths for counts, one fifth to calibrate.  Calibration picks the
     confidence scale by log loss and sets each language's rejection limit
-    ``margin`` bits above its own documents' highest cross-entropy.  Without
+    ``margin`` bits above its own documents' highest cross-entropy.  Null
+    languages and texts are left out, repeated rows are sampled alike, texts
+    without a letter count nothing, other columns are not read, and without
     rows the model knows no language and every text is undetermined.
     """
     sample = sample_rows(rows.where("lang is not null and text is not null"), per_language, seed)
@@ -272,7 +274,11 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows, all columns as they are, whose language is not rejected."""
+    """The rows, all columns as they are, whose language is not rejected.
+
+    Null and empty texts and those without a letter are rejected, repeated rows
+    alike, ids don't matter, and an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

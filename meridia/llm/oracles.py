@@ -51,4 +51,28 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, nth = 1 AS kept, text_sha256 FROM n
 """
 
-ORACLES = {"op2_mix_sources": OP2, "op3_exact_dedup": OP3}
+OP9 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') END AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i : array_to_string(ws[i : i + 4], ' '))) END AS sh
+  FROM w
+), n AS (
+  SELECT doc_id, len(sh)::BIGINT AS n FROM s
+), u AS (
+  SELECT doc_id, unnest(sh) AS g FROM s
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_ FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT x, y FROM p JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * both_ >= 75 * (a.n + b.n - both_)
+), l AS (
+  SELECT x, y FROM e UNION ALL SELECT y, x FROM e
+), r AS (
+  SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.other = l.x
+)
+SELECT n.doc_id, n.n AS n_shingles, min(r.other) AS component_id FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.n
+"""
+
+ORACLES = {"op2_mix_sources": OP2, "op3_exact_dedup": OP3, "op9_ngram_join": OP9}
