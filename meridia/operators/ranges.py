@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows a range holds on average, and sampled keys a boundary is chosen from.
-ROWS_PER_RANGE, KEYS_PER_RANGE = 50_000, 50
+#: Rows a range holds on average, sampled keys a boundary is chosen from, and ranges at most (longer ones then).
+ROWS_PER_RANGE, KEYS_PER_RANGE, MOST_RANGES = 50_000, 50, 1_000
 
 
 def range_of(df: DataFrame, keys: list[str]) -> Column:
@@ -17,7 +17,7 @@ def range_of(df: DataFrame, keys: list[str]) -> Column:
     share one.
     """
     n = df.count()
-    ranges = -(-n // ROWS_PER_RANGE)
+    ranges = min(-(-n // ROWS_PER_RANGE), MOST_RANGES)
     if ranges < 2:
         return F.lit(0)
     every = max(1, n // (ranges * KEYS_PER_RANGE))
