@@ -44,12 +44,12 @@ END = 0
 UNSEEN = 128
 #: Longest ending in bytes, and the lexicon words an ending needs.
 ENDING, ENDING_WORDS = 4, 5
-#: Distinct words, and distinct count keys, that a task holds before it hands partial counts on.
-FLUSH, KEYS = 300_000, 2_500_000
+#: Distinct words a task holds before it hands partial counts on.
+FLUSH = 300_000
 #: Word types whose counts one task holds together.
 PER_BUCKET = 4096
 #: A sweep must raise the likelihood by this share, and move this share of rare words, for another to follow.
-LEAST_GAIN, LEAST_MOVED = 1e-4, 1e-3
+LEAST_GAIN, LEAST_MOVED = 1e-3, 0.05
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -252,12 +252,6 @@ def joined_ids(batch: pa.RecordBatch) -> np.ndarray:
     return np.concatenate([end, *(x for (packed,) in arrow_rows(batch, "ids") for x in (np.frombuffer(packed, np.int32), end))])
 
 
-def added_up(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([h[0] for h in held] or [np.zeros(0, np.int64)])
-    unique, place = np.unique(keys, return_inverse=True)
-    return unique, np.bincount(place, np.concatenate([h[1] for h in held] or [np.zeros(0)]), len(unique)).astype(np.int64)
-
-
 def key_counts(rows: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
     """How often each key under ``size`` occurs; ``size`` is bounded by parameters, so tasks add up whole arrays."""
 
@@ -287,55 +281,49 @@ def class_bigrams(encoded: DataFrame, classes: np.ndarray, k: int) -> np.ndarray
 def moved_types(encoded: DataFrame, classes: np.ndarray, between: np.ndarray) -> np.ndarray:
     """One sweep: every type's best class given all types' classes before it.
 
-    Tasks count (type, side, neighbour's class), packed by ranges of types; a
-    task of the second stage holds a range's counts as one small matrix.
+    Tasks count (side, type, neighbour's class) in one array of bounded size and
+    send it on packed, in buckets of types; a task of the second stage holds a
+    bucket's counts as one small matrix.
     """
     k, parts = len(between), shuffle_parts(encoded.sparkSession)
+    buckets = -(-len(classes) // PER_BUCKET)
     shared = encoded.sparkSession.sparkContext.broadcast(classes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting = 0
-
-        def blocks() -> pa.RecordBatch:
-            keys, n = added_up(held)
-            buckets, first = np.unique(keys // (2 * k * PER_BUCKET), return_index=True)
-            spans = list(zip(first, np.append(first[1:], len(keys))))
-            pack = lambda x: zstandard.compress(x.astype("<i4").tobytes(), 1)
-            steps = [pack(np.diff(keys[i:j] - b * (2 * k * PER_BUCKET), prepend=0)) for b, (i, j) in zip(buckets, spans)]
-            return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(steps, pa.binary()), pa.array([pack(n[i:j]) for i, j in spans], pa.binary())], names=["bucket", "steps", "counts"])
-
+        of = shared.value.astype(np.int64)
+        sides = np.zeros((2, len(of) * k), np.int32)
         for batch in batches:
             x = joined_ids(batch).astype(np.int64)
-            c = shared.value[x].astype(np.int64)
-            keys = np.concatenate([x[1:] * (2 * k) + c[:-1], x[:-1] * (2 * k) + k + c[1:]])
-            held.append(np.unique(keys, return_counts=True))
-            waiting += len(held[-1][0])
-            if waiting > KEYS:
-                held = [added_up(held)]
-                waiting = len(held[0][0])
-                if waiting > KEYS // 2:
-                    yield blocks()
-                    held, waiting = [], 0
-        if held:
-            yield blocks()
+            c = of[x]
+            sides[0] += np.bincount(x[1:] * k + c[:-1], minlength=len(of) * k).astype(np.int32)
+            sides[1] += np.bincount(x[:-1] * k + c[1:], minlength=len(of) * k).astype(np.int32)
+        sides = sides.reshape(2, len(of), k)
+        pack = lambda v: zstandard.compress(v.astype("<i4").tobytes(), 1)
+        rows = []
+        for b in range(buckets):  # every so-manieth type, so that frequent types spread
+            part = sides[:, b::buckets].reshape(-1)
+            some = np.flatnonzero(part)
+            if len(some):
+                rows.append((b, pack(np.diff(some, prepend=0)), pack(part[some])))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "steps", "counts"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, None
 
         def rows() -> pa.RecordBatch:
-            sides = total.reshape(PER_BUCKET, 2, k)
-            at = np.flatnonzero(sides.sum((1, 2)))
-            ids = at + now * PER_BUCKET
-            new = best_classes(sides[at, 0], sides[at, 1], shared.value[ids], between)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(new, pa.int64())], names=["id", "c"])
+            ids = np.arange(now, len(shared.value), buckets)
+            left, right = total.reshape(2, len(ids), k)
+            at = np.flatnonzero(left.sum(1) + right.sum(1))
+            new = best_classes(left[at], right[at], shared.value[ids[at]], between)
+            return pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(new, pa.int64())], names=["id", "c"])
 
         for batch in batches:
             for bucket, steps, counts in arrow_rows(batch, "bucket", "steps", "counts"):
                 if bucket != now:
                     if now is not None:
                         yield rows()
-                    now, total = bucket, np.zeros(PER_BUCKET * 2 * k, np.int64)
+                    now, total = bucket, np.zeros(2 * k * len(range(bucket, len(shared.value), buckets)), np.int64)
                 total[np.cumsum(np.frombuffer(zstandard.decompress(steps), "<i4"))] += np.frombuffer(zstandard.decompress(counts), "<i4")
         if now is not None:
             yield rows()
@@ -435,13 +423,10 @@ def settle_rare(rare: DataFrame, between: np.ndarray, sweeps: int) -> DataFrame:
 
     def keys(batch: pa.RecordBatch) -> np.ndarray:
         """Bigrams that moved rows add to their new class and take from the old one."""
-        out = [np.zeros(0, np.int64)]
-        for new, old, packed in arrow_rows(batch, "c", "old", "contexts"):
-            if new != old:
-                code = np.frombuffer(packed, "<u2").astype(np.int64)
-                for sign, c in ((0, new), (1, old)):
-                    out += [sign * k * k + (code // k) * k + c, sign * k * k + c * k + code % k]
-        return np.concatenate(out)
+        codes = [np.frombuffer(x, "<u2") for (x,) in arrow_rows(batch, "contexts")]
+        code, sizes = np.concatenate([np.zeros(0, np.uint16), *codes]).astype(np.int64), [len(x) for x in codes]
+        new, old = (np.repeat(batch.column(c).to_numpy().astype(np.int64), sizes) for c in ("c", "old"))
+        return np.concatenate([sign * k * k + x for sign, c in ((0, new), (1, old)) for x in ((code // k) * k + c, c * k + code % k)])
 
     for _ in range(sweeps):
         moved = staged(step(rare, between), "rare", compression="zstd")
@@ -617,5 +602,6 @@ def train_and_score(
 ) -> DataFrame:
     """``score_documents`` of all rows by the model of the rows where ``learns`` holds, texts read twice in all."""
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.coalesce(learns, F.lit(False)).alias("learns"))
-    model, _, placed = learn(rows, n_lexicon, n_classes, n_seed, sweeps)
+    model, rare, placed = learn(rows, n_lexicon, n_classes, n_seed, sweeps)
+    discard(rare)
     return add_transitions(placed, model)
