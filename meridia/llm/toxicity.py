@@ -2,7 +2,7 @@
 
 Two zstandard dictionaries are trained apart from each other, one on whole
 ordinary texts and one on whole toxic texts.  Windows of a text, each word and
-every three words in a row, are compressed with either; what the toxic
+every six words in a row, are compressed with either; what the toxic
 dictionary saves against the ordinary one is a window's gain.  A window stands
 between two fixed frames that both dictionaries hold, so that a block's fixed
 cost cancels.  A document's features are how many of its windows reach each
@@ -32,7 +32,7 @@ HEAD, TAIL = b" this frame stands before each window: ", b" :and this one follow
 #: A run without blanks longer than this becomes windows of this many bytes, each overlapping the next by half.
 LONGEST = 64
 #: Words of a running window, and from one running window to the next.
-PHRASE, STRIDE = 3, 2
+PHRASE, STRIDE = 6, 5
 #: Steps of gain in bytes: for single words (which must also save that share of their length) and for running windows.
 WORD_STEPS, WORD_SHARE, PHRASE_STEPS = (2, 3, 4, 5, 6, 7, 8), 0.4, (4, 6, 8, 10)
 #: Windows compressed at once.
@@ -77,7 +77,7 @@ class ToxicityModel:
     ordinary: bytes = b""
     toxic: bytes = b""
     word_level: int = 12
-    phrase_level: int = 6
+    phrase_level: int = 3
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
     scale: np.ndarray = field(default_factory=lambda: np.ones(0))

@@ -286,8 +286,8 @@ def test_toxicity_score_is_that_of_a_plain_scorer():
         words = re.sub("[^a-z0-9\x80-\U0010ffff]+", " ", (text or "").lower()).split()
         words = [p for w in (w.encode() for w in words) for p in ([w] if len(w) <= 64 else [w[i : i + 64] for i in range(0, len(w) - 32, 32)])]
         gains = [g if g >= 0.4 * len(w) else 0 for w in words for g in [gain(w, 12)]]
-        windows = [b" ".join(words[i : i + 3]) for i in range(len(words)) if i % 2 == 0 and (i == 0 or i + 1 < len(words))]
-        more = [gain(w, 6) for w in windows]
+        windows = [b" ".join(words[i : i + 6]) for i in range(len(words)) if i % 5 == 0 and (i == 0 or i + 1 < len(words))]
+        more = [gain(w, 3) for w in windows]
         counts = [sum(g >= s for g in gains) for s in range(2, 9)] + [sum(g >= s for g in more) for s in (4, 6, 8, 10)]
         n = len(words) + 20
         x = [1, math.log(n), *[math.log(1 + c) for c in counts], *[math.log(1 + min(c * 200 / n, 147)) for c in counts]]
