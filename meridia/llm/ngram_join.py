@@ -30,15 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, clipped, lower_az, shuffle_parts, staged
+from .common import arrow_rows, clipped, discard, free_names, lower_az, shuffle_parts, small_side, staged
 from .components import connected_components
 
 WIDTH = 5
 #: Links need ``100 * intersection >= PERCENT * union``.
 PERCENT = 75
 #: Between tasks a shingle is its bucket and this many bits of its hash; as
-#: buckets grow in number with the data, chance equality stays at one in 500,000.
-BITS = 40
+#: buckets grow in number with the data, chance equality stays under one in 100 million.
+BITS = 48
 #: Shingles a task gathers before it sends blocks, and that a bucket holds on average.
 FLUSH = 1_000_000
 PER_BUCKET = 2_000_000
@@ -222,7 +222,7 @@ def shared_shingles(blocks: DataFrame, buckets: int, parts: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, held in by_bucket(batches):
             member, size, hashes, _ = unpack_blocks(held)
-            hashes |= np.uint64(bucket << BITS)
+            hashes = mixed(hashes + np.uint64(bucket * _BASE & (2**64 - 1)))
             order = np.lexsort((member, hashes))
             member, size, hashes = member[order], size[order], hashes[order]
             new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (member[1:] != member[:-1])])
@@ -327,7 +327,7 @@ class Groups:
         return x
 
 
-def find_links(queries: DataFrame, index: DataFrame, sets: DataFrame, parts: int, per_task: int = 5_000) -> DataFrame:
+def find_links(queries: DataFrame, index: DataFrame, sets: DataFrame, parts: int, per_task: int = 1_000) -> DataFrame:
     """``a, b``: links that join all that links between queries and index classes of one bucket join.
 
     Both tables are ``digest, bucket``.  A bucket that more than ``per_task``
@@ -371,7 +371,10 @@ def find_links(queries: DataFrame, index: DataFrame, sets: DataFrame, parts: int
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    return rows.mapInArrow(work, "a long, b long")
+    links = staged(rows.mapInArrow(work, "a long, b long"), "links")
+    discard(queries)
+    discard(copies)
+    return links
 
 
 def similar_size(n: Column, m: Column) -> Column:
@@ -399,7 +402,8 @@ def class_components(sets: DataFrame, parts: int) -> DataFrame:
     indexed = pairs.select("hub", "m").distinct()
     buckets = indexed.agg(index_buckets(F.count(F.lit(1)), F.coalesce(F.sum("m"), F.lit(0))).alias("n")).first()["n"]
     bucket = F.pmod(F.xxhash64("hub"), F.lit(buckets)).cast("long").alias("bucket")
-    links = staged(find_links(pairs.select("digest", bucket), pairs.select(F.col("hub").alias("digest"), bucket), sets, parts), "links")
+    links = find_links(pairs.select("digest", bucket), pairs.select(F.col("hub").alias("digest"), bucket), sets, parts)
+    discard(pairs)
     found = connected_components(links)
 
     # What a hub didn't join: members of one list in different components.
@@ -415,10 +419,11 @@ def class_components(sets: DataFrame, parts: int) -> DataFrame:
     new = (F.col("c") != F.col("component")) | (F.col("d") != F.col("component"))
     fits = (100 * F.col("n") >= PERCENT * F.col("least")) & (PERCENT * F.col("n") <= 100 * F.col("most"))
     queries = open_.join(reach, "shingle").where((F.col("digest") < F.col("last")) & new & fits).select("digest", "bucket")
-    more = staged(find_links(queries, index, sets, parts), "links")
-    if more.isEmpty():
-        return found.select(F.col("node").alias("digest"), F.col("label").alias("component"))
-    found = connected_components(links.unionByName(more))
+    more = find_links(queries, index, sets, parts)
+    if not more.isEmpty():
+        found = connected_components(links.unionByName(more))
+    for done in (lists, links, open_, index, more):
+        discard(done)
     return found.select(F.col("node").alias("digest"), F.col("label").alias("component"))
 
 
@@ -430,7 +435,9 @@ def sets_and_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = max(min(parts, 24), -(-total // PER_BUCKET))
     shared = shared_shingles(shingle_blocks(rows, buckets), buckets, parts)
     able = staged(survivors(shared, sets, parts), "survivors", compression="zstd")
-    return sets, class_components(able, parts)
+    classes = class_components(able, parts)
+    discard(able)
+    return sets, classes
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -456,13 +463,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows, all columns, that stay: of each component one, by smallest id (nulls last), digest and text hash.
 
     Rows are told apart by a number of their own, as ids may be null or repeat.
+    Texts without a word, or null, link with nothing and stay; an empty table
+    gives an empty result.
     """
-    numbered = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    rows = clipped(numbered, doc_id=id_col, row="__row", text=text_col).withColumn("sign", F.xxhash64("text"))
+    (number,) = free_names(docs, "row_number")
+    numbered = staged(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    rows = clipped(numbered, doc_id=id_col, row=number, text=text_col).withColumn("sign", F.xxhash64("text"))
     sets, classes = sets_and_classes(rows)
     full = sets.where("n_shingles > 0")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "sign", "row")
     best = full.groupBy("digest").agg(F.min(rank).alias("best")).join(classes, "digest", "left")
     best = best.groupBy(F.coalesce("component", "digest").alias("component")).agg(F.min("best").alias("best"))
-    gone = full.select("row").join(best.select(F.col("best.row").alias("row")), "row", "left_anti")
-    return numbered.join(gone.withColumnRenamed("row", "__row"), "__row", "left_anti").select(*[numbered[c] for c in docs.columns])
+    gone = staged(full.select("row").join(best.select(F.col("best.row").alias("row")), "row", "left_anti").withColumnRenamed("row", number), "gone")
+    return numbered.join(small_side(gone), number, "left_anti").select(*[numbered[c] for c in docs.columns])
