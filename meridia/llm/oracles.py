@@ -75,4 +75,70 @@ WITH RECURSIVE w AS (
 SELECT n.doc_id, n.n AS n_shingles, min(r.other) AS component_id FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.n
 """
 
-ORACLES = {"op2_mix_sources": OP2, "op3_exact_dedup": OP3, "op9_ngram_join": OP9}
+OP12 = r"""
+WITH RECURSIVE d AS (
+  SELECT *, CASE WHEN 1 & xor(4294967295, list_reduce(list_concat([4294967295::UBIGINT], flatten([[ascii(c)::UBIGINT, 256, 256, 256, 256, 256, 256, 256, 256] for c in string_split(doc_id::VARCHAR, '')])),
+                 lambda crc, b : CASE WHEN b < 256 THEN xor(crc, b) WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384::UBIGINT) ELSE crc >> 1 END)) = 0
+               THEN replace(text, chr(10), '') ELSE text END AS cut
+  FROM documents
+), f AS (
+  SELECT doc_id, source, cut IS DISTINCT FROM text AS changed,
+         coalesce(octet_length(doc_id::VARCHAR::BLOB) || ':' || doc_id, '-') || coalesce(octet_length(source::BLOB) || ':' || source, '-')
+           || coalesce(octet_length(lang::BLOB) || ':' || lang, '-') || coalesce(octet_length(n_chars::VARCHAR::BLOB) || ':' || n_chars, '-') AS head,
+         coalesce(octet_length(encode(text)) || ':' || text, '-') AS body, coalesce(octet_length(encode(cut)) || ':' || cut, '-') AS cut_body
+  FROM d
+), l AS (
+  SELECT row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, sha256(head || body)) - 1 AS place, doc_id, source, sha256(head || body) AS leaf, sha256(head || cut_body) AS checked FROM f
+), n AS (
+  SELECT source, 0 AS level, place, leaf AS digest, count(*) OVER (PARTITION BY source) AS wide FROM l
+  UNION ALL
+  SELECT *, count(*) OVER (PARTITION BY source) FROM (
+    SELECT source, level + 1, place // 3, sha256(string_agg(digest, '' ORDER BY place)) FROM n WHERE wide > 1 GROUP BY source, level, place // 3)
+), s AS (
+  SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS wide FROM n WHERE wide = 1
+), t AS (
+  SELECT 0 AS level, place, subroot AS digest, wide FROM s
+  UNION ALL
+  SELECT *, count(*) OVER () FROM (SELECT level + 1, place // 3, sha256(string_agg(digest, '' ORDER BY place)) FROM t WHERE wide > 1 GROUP BY level, place // 3)
+), nodes AS (
+  SELECT source, false AS top, level, place, digest, wide FROM n UNION ALL SELECT NULL, true, level, place, digest, wide FROM t
+), runs AS (
+  SELECT source, top, level, place // 3 AS parent, list(digest ORDER BY place) AS run FROM nodes WHERE wide > 1 GROUP BY ALL
+), heights AS (
+  SELECT source, top, max(level) AS height FROM nodes GROUP BY ALL
+), p AS (
+  SELECT l.doc_id, l.source, l.leaf, l.place AS row_place, false AS top, 0 AS level, l.place AS place, '' AS siblings, l.checked AS folded FROM l
+  UNION ALL
+  SELECT p.doc_id, p.source, p.leaf, p.row_place, p.top OR p.level = h.height,
+         CASE WHEN NOT p.top AND p.level = h.height THEN 0 ELSE p.level + 1 END,
+         CASE WHEN NOT p.top AND p.level = h.height THEN s.place ELSE p.place // 3 END,
+         p.siblings || coalesce(array_to_string(list_concat(r.run[:p.place % 3], r.run[p.place % 3 + 2:]), ''), ''),
+         CASE WHEN r.run IS NULL THEN p.folded ELSE sha256(array_to_string(list_concat(r.run[:p.place % 3], [p.folded], r.run[p.place % 3 + 2:]), '')) END
+  FROM p JOIN heights h ON p.top = h.top AND (p.top OR p.source IS NOT DISTINCT FROM h.source)
+  JOIN s ON p.source IS NOT DISTINCT FROM s.source
+  LEFT JOIN runs r ON r.top = p.top AND (p.top OR r.source IS NOT DISTINCT FROM p.source) AND r.level = p.level AND r.parent = p.place // 3 AND p.level < h.height
+  WHERE NOT (p.top AND p.level = h.height)
+)
+SELECT p.doc_id, p.leaf, s.subroot, t.digest AS root, sha256(p.siblings) AS proof_sha256, p.folded AS folded_root, p.folded = t.digest AS verified
+FROM p JOIN heights h ON h.top AND p.top AND p.level = h.height JOIN s ON p.source IS NOT DISTINCT FROM s.source JOIN t ON t.wide = 1
+"""
+
+OP13 = r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN embedding IS NOT NULL AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0
+                                   AND len(list_filter(embedding, lambda x : x <> 0)) > 0 THEN embedding::DOUBLE[] END AS e
+  FROM embeddings
+), l AS (
+  SELECT a.r AS x, b.r AS y FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9
+), c AS (
+  SELECT r, r AS other FROM v UNION SELECT c.r, l.y FROM c JOIN l ON c.other = l.x
+), m AS (
+  SELECT c.r, min(v.vec_id) AS component_id FROM c JOIN v ON c.other = v.r GROUP BY c.r
+), k AS (
+  SELECT x, count(*) AS n FROM l GROUP BY x
+)
+SELECT v.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, m.component_id, v.vec_id IS NOT DISTINCT FROM m.component_id AS kept
+FROM v JOIN m USING (r) LEFT JOIN k ON k.x = v.r
+"""
+
+ORACLES = {"op2_mix_sources": OP2, "op3_exact_dedup": OP3, "op9_ngram_join": OP9, "op12_merkle_manifest": OP12, "op13_near_vectors": OP13}

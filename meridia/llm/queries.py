@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import class_lm, exact_dedup, fingerprints, language_id, licences, mixing, ngram_join, pieces, token_files, toxicity
+from . import class_lm, exact_dedup, fingerprints, language_id, licences, merkle, mixing, near_vectors, ngram_join, pieces, token_files, toxicity, whitening
 from .common import in_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", in_fold(found["doc_id"], 5, 0))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_mix_sources": op2_mix_sources,
@@ -82,4 +94,7 @@ QUERIES: dict[str, Query] = {
     "op8_pieces": op8_pieces,
     "op9_ngram_join": op9_ngram_join,
     "op10_language_id": op10_language_id,
+    "op11_whitening": op11_whitening,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_near_vectors": op13_near_vectors,
 }
