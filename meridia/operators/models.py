@@ -1,19 +1,22 @@
-"""The estimator zoo on ``pyspark.ml``, and what Spark lacks said plainly.
+"""The estimator zoo on ``pyspark.ml`` and on the learners that it lacks.
 
 Names are the model families'; ``stand_in`` tells where Spark's nearest
-estimator is another algorithm.  Families without a distributed counterpart
-are listed in ``UNAVAILABLE`` and raise.
+estimator is another algorithm.  Families that Spark lacks are in
+``learners``.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml import classification as mc
 from pyspark.ml.feature import Binarizer, StandardScaler
@@ -21,6 +24,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import learners
 from .features import class_weights
 from .filters import has_negative
 from .metrics import sweep_metrics
@@ -54,22 +58,26 @@ FAMILIES: dict[str, Family] = {
     "decision_tree": Family(lambda: mc.DecisionTreeClassifier(maxDepth=8, seed=42), grid={"maxDepth": [4, 8, 12]}),
     "random_forest": Family(lambda: mc.RandomForestClassifier(numTrees=100, seed=42), grid={"numTrees": [50, 100]}),
     "gradient_boosting": Family(lambda: mc.GBTClassifier(maxIter=20, seed=42)),
-    "hist_gradient_boosting": Family(lambda: mc.GBTClassifier(maxIter=20, maxBins=255, seed=42), stand_in=True),
-    "xgboost": Family(lambda: mc.GBTClassifier(maxIter=30, maxDepth=6, seed=42), stand_in=True),
-    "lightgbm": Family(lambda: mc.GBTClassifier(maxIter=30, maxDepth=6, maxBins=255, seed=42), stand_in=True),
-    "extra_trees": Family(lambda: mc.RandomForestClassifier(numTrees=100, subsamplingRate=1.0, seed=42), stand_in=True),
+    "hist_gradient_boosting": Family(lambda: learners.multiclass_boosting(rounds=15, depth=8, most_leaves=31, bins=255, rate=0.1), grid={"rate": [0.1, 0.3]}),
+    "xgboost": Family(lambda: learners.multiclass_boosting(rounds=15, depth=6), grid={"rate": [0.1, 0.3]}),
+    "lightgbm": Family(lambda: learners.multiclass_boosting(rounds=15, depth=8, most_leaves=31, bins=255, rate=0.1, least=1e-3), grid={"most_leaves": [15, 31]}),
+    "extra_trees": Family(learners.extra_trees, grid={"trees": [50, 100]}),
+    "extra_tree": Family(lambda: learners.extra_trees(trees=1)),
+    "ada_boost": Family(learners.ada_boost, grid={"rounds": [25, 50]}),
+    "perceptron": Family(lambda: learners.online("perceptron", featuresCol="scaled"), True),
+    "passive_aggressive": Family(lambda: learners.online("passive_aggressive", featuresCol="scaled"), True, grid={"limit": [0.1, 1.0]}),
+    "rbf_svc": Family(lambda: learners.RadialSVC(featuresCol="scaled"), True),
     "bagging": Family(lambda: mc.RandomForestClassifier(numTrees=100, featureSubsetStrategy="all", seed=42)),
 }
-#: Families without a distributed counterpart in Spark.
-UNAVAILABLE = {"perceptron": "online learner", "passive_aggressive": "online learner", "rbf_svc": "kernel method", "extra_tree": "single random tree", "ada_boost": "no reweighting trees"}
 
 
 def estimator(name: str, n_features: int = 0, n_classes: int = 2, params: dict | None = None) -> Estimator:
     """A fresh pipeline over ``features, label``; ``params`` belong to the classifier itself."""
-    if name in UNAVAILABLE:
-        raise ValueError(f"{name} isn't available on Spark: {UNAVAILABLE[name]}")
     family = FAMILIES[name]
     stage = family.make()
+    if isinstance(stage, learners.Learner):
+        stage = stage.with_settings(**(params or {}))
+        return _scaled(stage) if family.scaled else stage
     tuned = stage.getClassifier() if isinstance(stage, mc.OneVsRest) else stage
     for key, value in (params or {}).items():
         tuned.set(tuned.getParam(key), value)
@@ -83,7 +91,7 @@ def with_features(df: DataFrame, vector: str, label: str) -> DataFrame:
 
 
 #: Families that take a weight a row, for classes of uneven size.
-WEIGHTED = {"logistic_regression", "decision_tree", "random_forest", "extra_trees", "bagging", "sgd_classifier", "linear_svc"}
+WEIGHTED = {"logistic_regression", "decision_tree", "random_forest", "extra_trees", "extra_tree", "bagging", "sgd_classifier", "linear_svc", "ada_boost", "xgboost", "lightgbm", "hist_gradient_boosting"}
 #: Families that count and so take no negative feature.
 COUNTING = {"multinomial_nb", "complement_nb"}
 
@@ -94,29 +102,52 @@ def balanced(train: DataFrame) -> DataFrame:
     return train.join(F.broadcast(weights), F.col("label") == F.col("__label")).drop("__label")
 
 
-def sweep(train: DataFrame, test: DataFrame, names: Iterable[str], id_col: str, n_features: int, n_classes: int, balance: bool = False) -> tuple[DataFrame | None, dict[str, str]]:
+#: What a family's own data or settings cause; anything else may be a passing fault of the cluster.
+DATA_ERRORS = (ValueError, KeyError, TypeError, ArithmeticError, np.linalg.LinAlgError, IllegalArgumentException, AnalysisException)
+
+
+def fitted_once_more(fit: Callable[[], Model]) -> Model:
+    """What ``fit`` gives, tried a second time where the first failure is none of its data's."""
+    try:
+        return fit()
+    except DATA_ERRORS:
+        raise
+    except Exception:
+        return fit()
+
+
+def sweep(train: DataFrame, test: DataFrame, names: Iterable[str], id_col: str, n_features: int, n_classes: int, balance: bool = False, at_once: int = 4) -> tuple[DataFrame | None, dict[str, str]]:
     """Fit each family and predict the test rows: long ``model, id, gt, pred``, and every family's status.
 
     A failing family never ends the sweep: its status tells why, and is ``OK``
-    otherwise.  Counting families are skipped where a training feature is
-    negative.  ``balance`` weighs rows by class for the families that take weights.
+    otherwise; what its data didn't cause is tried twice.  ``at_once`` families
+    are fitted at the same time.  Counting families are skipped where a
+    training feature is negative.  ``balance`` weighs rows by class for the
+    families that take weights.
     """
+    names = list(names)
     train, test = (d.persist() for d in (balanced(train) if balance else train, test))
     negative = has_negative(train.select(vector_to_array("features").alias("v")), "v") if COUNTING & set(names) else False
-    out, status = None, {}
-    for name in names:
+    params = {"weightCol": "weight"}
+
+    @inheritable_thread_target(train.sparkSession)
+    def run(name: str) -> tuple[DataFrame | None, str]:
         if negative and name in COUNTING:
-            status[name] = "SKIPPED: negative features"
-            continue
+            return None, "SKIPPED: negative features"
         try:
-            fitted = estimator(name, n_features, n_classes, {"weightCol": "weight"} if balance and name in WEIGHTED else None).fit(train)
-            rows = fitted.transform(test).select(F.lit(name).alias("model"), id_col, F.col("label").cast("int").alias("gt"), F.col("prediction").cast("int").alias("pred"))
-            out, status[name] = rows if out is None else out.unionByName(rows), "OK"
+            fitted = fitted_once_more(lambda: estimator(name, n_features, n_classes, params if balance and name in WEIGHTED else None).fit(train))
+            return fitted.transform(test).select(F.lit(name).alias("model"), id_col, F.col("label").cast("int").alias("gt"), F.col("prediction").cast("int").alias("pred")), "OK"
         except Exception as error:
-            status[name] = f"FAILED: {type(error).__name__}: {str(error).splitlines()[0][:200]}"
+            return None, f"FAILED: {type(error).__name__}: {str(error).splitlines()[0][:200]}"
+
+    with ThreadPoolExecutor(at_once) as pool:
+        found = dict(zip(names, pool.map(run, names)))
+    out = None
+    for rows, _ in found.values():
+        out = rows if out is None else out if rows is None else out.unionByName(rows)
     for held in (train, test):
         held.unpersist()
-    return out, status
+    return out, {name: status for name, (_, status) in found.items()}
 
 
 def sweep_table(rows: DataFrame | None, status: dict[str, str], labels: list[int]) -> DataFrame:

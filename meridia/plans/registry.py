@@ -33,7 +33,7 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 def _load() -> None:
-    from . import boxes, labelled, prepared, storage, texts, vectors  # noqa: F401
+    from . import boxes, labelled, learned, prepared, storage, texts, vectors  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

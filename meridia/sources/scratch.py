@@ -17,3 +17,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         folder = "file://" + tempfile.mkdtemp(prefix="meridia-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path that ``scratch_path`` gave, once nothing reads it any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
