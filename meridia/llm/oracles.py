@@ -83,8 +83,8 @@ WITH RECURSIVE d AS (
   FROM documents
 ), f AS (
   SELECT doc_id, source, cut IS DISTINCT FROM text AS changed,
-         coalesce(octet_length(doc_id::VARCHAR::BLOB) || ':' || doc_id, '-') || coalesce(octet_length(source::BLOB) || ':' || source, '-')
-           || coalesce(octet_length(lang::BLOB) || ':' || lang, '-') || coalesce(octet_length(n_chars::VARCHAR::BLOB) || ':' || n_chars, '-') AS head,
+         coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+           || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
          coalesce(octet_length(encode(text)) || ':' || text, '-') AS body, coalesce(octet_length(encode(cut)) || ':' || cut, '-') AS cut_body
   FROM d
 ), l AS (
