@@ -1,20 +1,29 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained apart from each other, one on whole
-ordinary texts and one on whole toxic texts.  Windows of a text, each word and
-every six words in a row, are compressed with either; what the toxic
-dictionary saves against the ordinary one is a window's gain.  A window stands
-between two fixed frames that both dictionaries hold, so that a block's fixed
-cost cancels.  A document's features are how many of its windows reach each
-step of gain, absolute and for its length; calibration documents, which neither
-dictionary has seen, set the weights that turn them into a probability.
+Two zstandard dictionaries are trained apart from each other: one on the words
+of ordinary texts, one on the words of toxic texts that hold a run of ``GRAM``
+bytes which is ``lift`` times as frequent among toxic documents as among
+ordinary ones; such words are left out of the ordinary dictionary's texts.
+Windows of a text, each word and every ``PHRASE`` words in a row, are compressed
+with either; what the toxic dictionary saves against the ordinary one is a
+window's gain.  Matches have ``GRAM`` bytes at least, so a window that shares no
+run of that length with the toxic dictionary cannot gain; such windows are
+recognised in one array pass and count as none.  A window stands between two
+fixed frames that both dictionaries hold, and an empty window's gain is taken
+off, so that a block's fixed cost cancels.
+A document's features are how many of its windows reach each step of gain,
+absolute and for its length; calibration documents, which neither dictionary has
+seen, set the weights that turn them into a probability.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +40,14 @@ _TO_WORDS = bytes(b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b
 HEAD, TAIL = b" this frame stands before each window: ", b" :and this one follows it."
 #: A run without blanks longer than this becomes windows of this many bytes, each overlapping the next by half.
 LONGEST = 64
-#: Words of a running window, and from one running window to the next.
-PHRASE, STRIDE = 6, 5
-#: Steps of gain in bytes: for single words (which must also save that share of their length) and for running windows.
-WORD_STEPS, WORD_SHARE, PHRASE_STEPS = (2, 3, 4, 5, 6, 7, 8), 0.4, (4, 6, 8, 10)
+#: Words of a running window.
+PHRASE = 3
+#: Bytes of the shortest match, of the runs that tell toxic words, and the least toxic training documents that hold one.
+GRAM, LEAST_DOCS = 6, 4
+#: zstandard's level; what matters is its shortest match.
+LEVEL = 3
+#: Steps of gain in bytes, for single words and for running windows.
+WORD_STEPS, PHRASE_STEPS = (2, 3, 4, 5, 6, 7, 8), (3, 4, 6, 8, 10)
 #: Windows compressed at once.
 CHUNK = 20_000
 
@@ -47,15 +60,17 @@ def units(text: str | None) -> list[bytes]:
     return [w[i : i + LONGEST] for w in found for i in range(0, max(1, len(w) - LONGEST // 2), LONGEST // 2)]
 
 
-def running_windows(words: list[bytes]) -> Iterator[bytes]:
-    """Every ``PHRASE`` words, ``STRIDE`` words apart; a shorter text is one window."""
-    return (b" ".join(words[i : i + PHRASE]) for i in range(0, max(1, len(words) - PHRASE + STRIDE), STRIDE)) if words else iter(())
+def running_windows(words: list[bytes]) -> list[bytes]:
+    """Every ``PHRASE`` words in a row; a shorter text is one window."""
+    return [b" ".join(words[i : i + PHRASE]) for i in range(max(1, len(words) - PHRASE + 1))] if words else []
 
 
-def compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
-    held = zstandard.ZstdCompressionDict(content + HEAD + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    held.precompute_compress(level=level)
-    return zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
+def compressor(content: bytes) -> zstandard.ZstdCompressor:
+    content += HEAD + TAIL
+    settings = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(content), source_size=256, min_match=GRAM, write_content_size=False, write_checksum=False, write_dict_id=False)
+    held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    held.precompute_compress(compression_params=settings)
+    return zstandard.ZstdCompressor(dict_data=held, compression_params=settings)
 
 
 def compressed_lengths(with_dictionary: zstandard.ZstdCompressor, framed: bytes, segments: bytes) -> np.ndarray:
@@ -63,11 +78,31 @@ def compressed_lengths(with_dictionary: zstandard.ZstdCompressor, framed: bytes,
     return np.fromiter((len(m) for m in made), np.int64, len(made))
 
 
-def train_dictionary(size: int, texts: list[str], segment: int) -> bytes:
-    """The content trained on whole texts; the texts themselves where there are too few to train on."""
-    samples = [b" %b " % b" ".join(units(t)) for t in texts]
+def runs_of(word: bytes) -> set[bytes]:
+    """All runs of ``GRAM`` bytes of a word between blanks; a shorter word has none."""
+    spaced = b" %b " % word
+    return {spaced[i : i + GRAM] for i in range(len(spaced) - GRAM + 1)}
+
+
+def document_counts(texts: list[list[bytes]]) -> Counter:
+    """In how many texts each run occurs."""
+    known: dict[bytes, set[bytes]] = {}
+    counts: Counter = Counter()
+    for words in texts:
+        found: set[bytes] = set()
+        for w in set(words):
+            if w not in known:
+                known[w] = runs_of(w)
+            found |= known[w]
+        counts.update(found)
+    return counts
+
+
+def train_dictionary(size: int, texts: list[list[bytes]]) -> bytes:
+    """The content trained on texts given as words; the texts themselves where there are too few to train on."""
+    samples = [b" %b " % b" ".join(words) for words in texts if words]
     try:
-        return zstandard.train_dictionary(size, samples, k=segment, d=8).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=16, d=GRAM).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
@@ -76,8 +111,6 @@ def train_dictionary(size: int, texts: list[str], segment: int) -> bytes:
 class ToxicityModel:
     ordinary: bytes = b""
     toxic: bytes = b""
-    word_level: int = 12
-    phrase_level: int = 3
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
     scale: np.ndarray = field(default_factory=lambda: np.ones(0))
@@ -87,38 +120,79 @@ class ToxicityModel:
 
 
 class Scorer:
-    """A model with its compressors, as one task holds them; repeated words are compressed once."""
+    """A model with its compressors, as one worker holds them; repeated words are compressed once."""
 
     def __init__(self, model: ToxicityModel):
         self.model = model
-        self.for_words = [compressor(c, model.word_level) for c in (model.ordinary, model.toxic)]
-        self.for_phrases = [compressor(c, model.phrase_level) for c in (model.ordinary, model.toxic)]
-        self.table = ChunkTable(lambda new: self._words(new))
+        self.pair = [compressor(c) for c in (model.ordinary, model.toxic)]
+        self.table = ChunkTable(lambda new: self.gains(new).tolist())
+        content = np.frombuffer(model.toxic + HEAD + TAIL, np.uint8)
+        self.runs = np.unique(self.codes(content))
 
     @staticmethod
-    def gains(pair: list[zstandard.ZstdCompressor], windows: list[bytes]) -> np.ndarray:
-        """Bytes that the second compressor saves against the first on each window."""
+    def codes(raw: np.ndarray) -> np.ndarray:
+        """One number for each run of ``GRAM`` bytes."""
+        n = len(raw) - GRAM + 1
+        out = np.zeros(max(0, n), np.uint64)
+        for i in range(GRAM if n > 0 else 0):
+            out |= raw[i : i + n].astype(np.uint64) << np.uint64(8 * i)
+        return out
+
+    @cached_property
+    def filter(self) -> np.ndarray:
+        """A table of bits of the runs' hashes, looked into before the runs themselves."""
+        bits = np.zeros(1 << 20, bool)
+        bits[self._hash(self.runs)] = True
+        return bits
+
+    @staticmethod
+    def _hash(codes: np.ndarray) -> np.ndarray:
+        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+    def gains(self, windows: list[bytes]) -> np.ndarray:
+        """Bytes that the toxic dictionary saves against the ordinary one on each window, beyond what it saves on an empty one."""
+        return self.saved(windows) - self.fixed
+
+    @cached_property
+    def fixed(self) -> int:
+        """What dictionaries of different sizes differ by on any block."""
+        return int(self.saved([b""])[0])
+
+    def saved(self, windows: list[bytes]) -> np.ndarray:
         out = []
         for i in range(0, len(windows), CHUNK):
             framed = [b"%b %b %b" % (HEAD, w, TAIL) for w in windows[i : i + CHUNK]]
             lengths = np.fromiter(map(len, framed), np.uint64, len(framed))
             segments = np.stack([np.cumsum(lengths) - lengths, lengths], 1).tobytes()
             whole = b"".join(framed)
-            out.append(compressed_lengths(pair[0], whole, segments) - compressed_lengths(pair[1], whole, segments))
+            out.append(compressed_lengths(self.pair[0], whole, segments) - compressed_lengths(self.pair[1], whole, segments))
         return np.concatenate(out or [np.zeros(0, np.int64)])
 
-    def _words(self, words: list[bytes]) -> list[int]:
-        """Gains of single words; 0 for one that doesn't save its share."""
-        gains = self.gains(self.for_words, words)
-        return np.where(gains >= WORD_SHARE * np.fromiter(map(len, words), np.int64, len(words)), gains, 0).tolist()
+    def marked(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words and of the running windows that share a run with the toxic dictionary."""
+        raw = np.frombuffer(b" %b " % b" ".join(words), np.uint8)
+        codes = self.codes(raw)
+        hit = np.flatnonzero(self.filter[self._hash(codes)])
+        hit = hit[self.runs[np.minimum(np.searchsorted(self.runs, codes[hit]), len(self.runs) - 1)] == codes[hit]]
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # the blank after each word
+        first = np.searchsorted(ends, hit, side="right")
+        last = np.searchsorted(ends, hit + GRAM - 1, side="left")
+        n = max(1, len(words) - PHRASE + 1)
+        opens, closes = np.maximum(0, last - PHRASE + 1), np.minimum(n - 1, first)
+        inside = opens <= closes
+        steps = np.bincount(opens[inside], minlength=n + 1) - np.bincount(closes[inside] + 1, minlength=n + 1)
+        return np.unique(first[first == last]), np.flatnonzero(np.cumsum(steps)[:n])
 
     def features(self, text: str | None) -> np.ndarray:
         words = units(text)
         n = len(words) + 20
-        by_word = np.array(self.table(words), np.int64)
-        by_phrase = self.gains(self.for_phrases, list(running_windows(words)))
-        counts = np.array([(by_word >= s).sum() for s in WORD_STEPS] + [(by_phrase >= s).sum() for s in PHRASE_STEPS], float)
-        return np.concatenate([[1.0, math.log(n)], np.log1p(counts), np.log1p(np.minimum(counts * 200 / n, 147))])
+        counts = np.zeros(len(WORD_STEPS) + len(PHRASE_STEPS))
+        if words:
+            alone, running = self.marked(words)
+            by_word = np.array(self.table([words[i] for i in alone.tolist()]), np.int64)
+            by_phrase = self.gains([b" ".join(words[i : i + PHRASE]) for i in running.tolist()])
+            counts[:] = [(by_word >= s).sum() for s in WORD_STEPS] + [(by_phrase >= s).sum() for s in PHRASE_STEPS]
+        return np.concatenate([[1.0, math.log(n)], np.log1p(counts), np.log1p(counts * 200 / n)])
 
     def score(self, text: str | None) -> float:
         m = self.model
@@ -128,6 +202,18 @@ class Scorer:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def scorer_for(model: ToxicityModel) -> Scorer:
+    """The model's scorer, one a worker process, so its word table serves all the tasks that the process runs."""
+    name = hashlib.sha256(b"".join([model.ordinary, b"|", model.toxic, *(a.tobytes() for a in (model.weights, model.mean, model.scale))])).hexdigest()
+    if name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[name] = model.scorer()
+    return _SCORERS[name]
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 3.0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Ridge logistic regression by Newton steps: weights, mean, scale and mean log loss."""
     mean, scale = x.mean(0), x.std(0) + 1e-3
@@ -146,28 +232,34 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 3.0, rounds: int =
     return w, mean, scale, float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
 
 
-def fit(samples: Iterable[tuple[str, int, bool]], ordinary_size: int = 262_144, toxic_sizes: tuple[int, ...] = (16_384, 32_768, 65_536)) -> ToxicityModel:
+def fit(samples: Iterable[tuple[str, int, bool]], ordinary_size: int = 262_144, toxic_sizes: tuple[int, ...] = (4096, 8192), lifts: tuple[float, ...] = (4.0, 6.0, 9.0)) -> ToxicityModel:
     """Fit on ``(text, toxic, calibrates)`` samples.
 
-    Both dictionaries are trained on all the whole texts that don't calibrate;
-    of the toxic dictionary's sizes the one with the least calibrated log loss
-    is taken.  Without both classes on both sides every text scores 0.
+    Both dictionaries are trained on the whole texts that don't calibrate; of
+    the toxic dictionary's sizes and lifts those with the least calibrated log
+    loss are taken.  Without both classes on both sides every text scores 0.
     """
     samples = list(samples)
-    toxic = [t for t, y, c in samples if y and not c]
-    plain = [t for t, y, c in samples if not y and not c]
+    toxic = [units(t) for t, y, c in samples if y and not c]
+    plain = [units(t) for t, y, c in samples if not y and not c]
     held = [(t, y) for t, y, c in samples if c]
     y = np.array([v for _, v in held], float)
     if not toxic or not plain or len(set(y)) < 2:
         return ToxicityModel()
-    ordinary = train_dictionary(ordinary_size, plain, 12)
+    among_toxic, among_plain = document_counts(toxic), document_counts(plain)
     tried = []
-    for size in toxic_sizes:
-        model = ToxicityModel(ordinary, train_dictionary(size, toxic, 10))
-        scorer = model.scorer()
-        x = np.array([scorer.features(t) for t, _ in held])
-        model.weights, model.mean, model.scale, loss = fit_logistic(x, y)
-        tried.append((loss, len(tried), model))
+    for lift in lifts:
+        lifted = {g for g, n in among_toxic.items() if n >= min(LEAST_DOCS, len(toxic)) and n / len(toxic) > lift * (among_plain[g] + 1) / (len(plain) + 1)}
+        telling = {w for texts in (toxic, plain) for words in texts for w in words}
+        telling = {w for w in telling if not lifted.isdisjoint(runs_of(w))}
+        ordinary = train_dictionary(ordinary_size, [[w for w in words if w not in telling] for words in plain])
+        pure = [[w for w in words if w in telling] for words in toxic]
+        for size in toxic_sizes:
+            model = ToxicityModel(ordinary, train_dictionary(size, pure))
+            scorer = model.scorer()
+            x = np.array([scorer.features(t) for t, _ in held])
+            model.weights, model.mean, model.scale, loss = fit_logistic(x, y)
+            tried.append((loss, len(tried), model))
     return min(tried)[2]
 
 
@@ -217,7 +309,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = shared.value.scorer()
+        scorer = scorer_for(shared.value)
         for batch in batches:
             scores = [scorer.score(text) for (text,) in arrow_rows(batch, "text")]
             flags = pa.array([int(s >= threshold) for s in scores], pa.int32())

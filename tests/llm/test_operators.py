@@ -270,31 +270,48 @@ def test_toxicity_odd(spark, odd, nothing):
 
 
 def test_toxicity_score_is_that_of_a_plain_scorer():
-    model = toxicity.fit([(t, y, i % 3 == 0) for i, t, y in toxic_corpus()], toxic_sizes=(4096,))
+    """Every word and every three words in a row compressed alone, none left out beforehand."""
+    model = toxicity.fit([(t, y, i % 3 == 0) for i, t, y in toxic_corpus()], toxic_sizes=(4096,), lifts=(6.0,))
     assert len(model.weights) and model.toxic != model.ordinary
 
-    def size(content, level, window):
-        held = zstandard.ZstdCompressionDict(content + toxicity.HEAD + toxicity.TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        held.precompute_compress(level=level)
-        c = zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
+    def size(content, window):
+        content += toxicity.HEAD + toxicity.TAIL
+        settings = zstandard.ZstdCompressionParameters.from_level(3, dict_size=len(content), source_size=256, min_match=6, write_content_size=False, write_checksum=False, write_dict_id=False)
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(compression_params=settings)
+        c = zstandard.ZstdCompressor(dict_data=held, compression_params=settings)
         return len(c.compress(toxicity.HEAD + b" " + window + b" " + toxicity.TAIL))
 
-    def gain(window, level):
-        return size(model.ordinary, level, window) - size(model.toxic, level, window)
+    def gain(window):
+        return size(model.ordinary, window) - size(model.toxic, window) - size(model.ordinary, b"") + size(model.toxic, b"")
 
-    for text in ("", None, "vilething", *[r[1] for r in toxic_corpus(8)], "Straße 7 " + "x" * 100):
+    for text in ("", None, "vilething", *[r[1] for r in toxic_corpus(8)], "Straße 7 " + "x" * 100, "a nastyword, b", "vile thing nasty word"):
         words = re.sub("[^a-z0-9\x80-\U0010ffff]+", " ", (text or "").lower()).split()
         words = [p for w in (w.encode() for w in words) for p in ([w] if len(w) <= 64 else [w[i : i + 64] for i in range(0, len(w) - 32, 32)])]
-        gains = [g if g >= 0.4 * len(w) else 0 for w in words for g in [gain(w, 12)]]
-        windows = [b" ".join(words[i : i + 6]) for i in range(len(words)) if i % 5 == 0 and (i == 0 or i + 1 < len(words))]
-        more = [gain(w, 3) for w in windows]
-        counts = [sum(g >= s for g in gains) for s in range(2, 9)] + [sum(g >= s for g in more) for s in (4, 6, 8, 10)]
+        gains = [gain(w) for w in words]
+        more = [gain(b" ".join(words[i : i + 3])) for i in range(len(words)) if i == 0 or i + 3 <= len(words)]
+        counts = [sum(g >= s for g in gains) for s in range(2, 9)] + [sum(g >= s for g in more) for s in (3, 4, 6, 8, 10)]
         n = len(words) + 20
-        x = [1, math.log(n), *[math.log(1 + c) for c in counts], *[math.log(1 + min(c * 200 / n, 147)) for c in counts]]
+        x = [1, math.log(n), *[math.log(1 + c) for c in counts], *[math.log(1 + c * 200 / n) for c in counts]]
         z = sum(w * (v - m) / s for w, v, m, s in zip(model.weights, x, model.mean, model.scale))
         assert model.scorer().score(text) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
 
 
+def test_a_phrase_of_three_words_counts_at_any_offset():
+    content = b" some ordinary words of no account whatever " * 3
+    model = toxicity.ToxicityModel(content, b" of pure evil and more of it ", np.ones(26), np.zeros(26), np.ones(26))
+    scorer = model.scorer()
+    filler = [b"zq%d" % i for i in range(12)]
+    none = scorer.features(b" ".join(filler).decode())
+    for at in range(13):
+        words = filler[:at] + [b"of", b"pure", b"evil"] + filler[at:]
+        alone, running = scorer.marked(words)
+        assert at in running.tolist() and set(running.tolist()) <= set(range(max(0, at - 2), min(12, at + 2) + 1))
+        found = scorer.features(b" ".join(words).decode())
+        assert found[2 + len(toxicity.WORD_STEPS)] > none[2 + len(toxicity.WORD_STEPS)]
+    assert toxicity.running_windows([b"a", b"b"]) == [b"a b"] and len(toxicity.running_windows(filler)) == 10
+
+
 # class language model
 
 
