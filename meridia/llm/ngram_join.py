@@ -54,22 +54,6 @@ _BASE = 0x9E3779B97F4A7C15
 _PLACES = np.array([pow(0xD1342543DE82EF95, k + 1, 2**64) for k in range(WIDTH)], np.uint64)
 
 
-class _Powers:
-    """Powers of an odd base and its inverse modulo 2^64, grown as texts need them."""
-
-    def __init__(self):
-        self.table, self.steps = np.ones((2, 1), np.uint64), np.array([[_BASE], [pow(_BASE, -1, 2**64)]], np.uint64)
-
-    def upto(self, n: int) -> np.ndarray:
-        while self.table.shape[1] < n:
-            shift = self.table[:, -1:] * self.steps
-            self.table = np.hstack([self.table, self.table * shift])
-        return self.table
-
-
-_POWERS = _Powers()
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit hashes."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -85,9 +69,14 @@ def word_hashes(text: str | None) -> np.ndarray:
     word = ~_SPACE[raw]
     edges = np.flatnonzero(np.diff(word.astype(np.int8), prepend=0, append=0))
     starts, stops = edges[::2], edges[1::2]
-    power = _POWERS.upto(len(raw) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[0, : len(raw)])])
-    return mixed((sums[stops] - sums[starts]) * power[1, starts] + (stops - starts).astype(np.uint64))
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    # A byte counts with its place in its word through a mixing function, so no structure of a word carries over to its sum.
+    letters = raw[word]
+    lengths = stops - starts
+    places = np.arange(len(letters)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    sums = np.add.reduceat(mixed((places.astype(np.uint64) << np.uint64(8) | letters) + np.uint64(_BASE)), np.cumsum(lengths) - lengths)
+    return mixed(sums + lengths.astype(np.uint64))
 
 
 def shingle_set(text: str | None) -> np.ndarray:

@@ -312,6 +312,21 @@ def test_a_phrase_of_three_words_counts_at_any_offset():
     assert toxicity.running_windows([b"a", b"b"]) == [b"a b"] and len(toxicity.running_windows(filler)) == 10
 
 
+# n-gram join, word hashes
+
+
+def test_structured_words_hash_apart():
+    """Thue-Morse words agree under any polynomial hash modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    a, b = ("".join("ab"[c ^ flip] for c in bits) for flip in (0, 1))
+    assert len(set(ngram_join.word_hashes(f"{a} {b} {a}").tolist())) == 2
+    assert set(ngram_join.shingle_set(f"{a} w x y z").tolist()).isdisjoint(ngram_join.shingle_set(f"{b} w x y z").tolist())
+    words = ["ab", "ba", "a", "aa", "aaa", "b", "A", "\x00a", "a\x00", "é", "è"]
+    hashes = ngram_join.word_hashes(" ".join(words))
+    assert len(hashes) == 11 and len(set(hashes.tolist())) == 10 and hashes[2] == hashes[6]
+    assert (ngram_join.word_hashes("\t ab\n ba ") == hashes[:2]).all() and not len(ngram_join.word_hashes(" \n"))
+
+
 # class language model
 
 
