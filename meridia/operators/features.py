@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .neighbours import nearest
+from .selection import exact_quantiles
 
 
 def hash_order(id_col: str, seed: int) -> Column:
@@ -46,9 +47,8 @@ def impute_numeric(df: DataFrame, train: DataFrame, columns: list[str], how: str
         return df.na.fill(0.0, columns)
     if how != "mean":
         raise ValueError(f"unknown imputation {how!r}")
-    fill = F.broadcast(train.agg(*[F.median(c).alias(f"__{c}") for c in columns]))
-    joined = df.crossJoin(fill)
-    return joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__{c}")) for c in columns}).select(*df.columns)
+    fill = exact_quantiles(train, {c: [0.5] for c in columns})
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(fill[c][0]).cast("double")) for c in columns})
 
 
 def impute_categorical(df: DataFrame, train: DataFrame, columns: list[str], how: str) -> DataFrame:
@@ -68,20 +68,25 @@ def impute_categorical(df: DataFrame, train: DataFrame, columns: list[str], how:
 
 
 def scale(df: DataFrame, train: DataFrame, columns: list[str], how: str) -> DataFrame:
-    """``standard`` (population deviation), ``minmax``, ``robust`` (median, quartile range) or ``none``; a constant column scales by 1."""
+    """``standard`` (population deviation), ``minmax``, ``robust`` (median, quartile range) or ``none``; a constant column scales by 1.
+
+    Medians and quartiles are exact, found by counting passes that hold no
+    column's values.
+    """
     if how == "none":
         return df
-    center = {"standard": F.avg, "minmax": F.min, "robust": F.median}
-    spread = {
-        "standard": F.stddev_pop, "minmax": lambda c: F.max(c) - F.min(c),
-        "robust": lambda c: F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25)),
-    }
-    if how not in center:
+    if how not in ("standard", "minmax", "robust"):
         raise ValueError(f"unknown scaling {how!r}")
-    fit = train.agg(*[center[how](c).alias(f"__c_{c}") for c in columns], *[spread[how](c).alias(f"__s_{c}") for c in columns])
-    joined = df.crossJoin(F.broadcast(fit))
-    one = lambda c: F.when(F.col(f"__s_{c}") == 0, 1.0).otherwise(F.col(f"__s_{c}"))
-    return joined.withColumns({c: (F.col(c) - F.col(f"__c_{c}")) / one(c) for c in columns}).select(*df.columns)
+    if how == "robust":
+        found = exact_quantiles(train, {c: [0.25, 0.5, 0.75] for c in columns})
+        fit = {c: (q[1], None if q[0] is None else q[2] - q[0]) for c, q in found.items()}
+    else:
+        center = {"standard": F.avg, "minmax": F.min}[how]
+        spread = {"standard": F.stddev_pop, "minmax": lambda c: F.max(c) - F.min(c)}[how]
+        row = train.agg(*[center(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)], *[spread(c).cast("double").alias(f"s{i}") for i, c in enumerate(columns)]).first()
+        fit = {c: (row[f"c{i}"], row[f"s{i}"]) for i, c in enumerate(columns)}
+    number = lambda v: F.lit(v).cast("double")
+    return df.withColumns({c: (F.col(c) - number(fit[c][0])) / number(1.0 if fit[c][1] == 0 else fit[c][1]) for c in columns})
 
 
 def category_levels(train: DataFrame, column: str) -> DataFrame:

@@ -44,11 +44,10 @@ def split_scan_limit(spark, sf_dir):
 
 @query(f"WITH {SPLIT_SQL} SELECT split, count(*) AS n, sum(label)::BIGINT AS positive FROM s GROUP BY split")
 def split_manager(spark, sf_dir):
-    """Splits by name, each read once."""
+    """Splits by name, each read once and kept."""
     splits = readers.Splits(spark, _written_splits(spark, sf_dir))
-    parts = [splits[name].groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positive")).first() for name in SPLIT_NAMES]
-    splits.close()
-    return spark.createDataFrame([tuple(p) for p in parts if p], "split string, n long, positive long")
+    parts = [splits[name].groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positive")) for name in SPLIT_NAMES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("SELECT m.model, doc_id AS row_id, toxic::INT AS actual, (CASE m.model WHEN 'rule' THEN quality ELSE (quality + toxic) % 2 END)::INT AS pred FROM labels, (SELECT unnest(['rule', 'xor']) AS model) m")
@@ -145,11 +144,18 @@ def filter_chain(spark, sf_dir):
     return filters.in_group(rows, events.where("event_type = 'purchase'"), "user_id").select("event_id", "user_id", "value")
 
 
-@query("""SELECT o_orderkey AS row, CASE WHEN o_orderkey % 4 = 0 THEN 'N/A' ELSE round(o_totalprice, 2)::VARCHAR END AS x FROM orders WHERE false""")
+@query("""WITH r AS (SELECT o_orderkey AS row, CASE WHEN o_orderkey % 5 = 0 THEN 'N/A' ELSE round(o_totalprice, 2)::VARCHAR END AS x, CASE o_orderstatus WHEN 'F' THEN 'FAILED: x' ELSE 'OK' END AS status,
+  CASE WHEN o_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS origin, o_orderpriority AS mode, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS bin FROM orders)
+SELECT row, round(x::DOUBLE, 2) AS x FROM r WHERE status = 'OK' AND x <> 'N/A' AND origin = 'a' AND mode LIKE '1%' AND bin""")
 def ranked_rows_only(spark, sf_dir):
-    """Rows that failed, and printed metrics that are no numbers, don't rank; here none is left."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row"), F.lit("N/A").alias("x"), F.lit("OK").alias("status"))
-    return filters.of_origin(filters.ranked_rows(orders, "x").withColumn("origin", F.lit("a")), "a", "x").select("row", "x")
+    """Runs that failed, printed metrics that are no numbers, other origins and other modes don't rank."""
+    number, key = F.round("o_totalprice", 2).cast("string"), F.col("o_orderkey")
+    runs = table(spark, sf_dir, "orders").select(
+        key.alias("row"), F.when(key % 5 == 0, "N/A").otherwise(number).alias("x"), F.when(F.col("o_orderstatus") == "F", "FAILED: x").otherwise("OK").alias("status"),
+        F.when(F.col("o_custkey") % 2 == 0, "a").otherwise("b").alias("origin"), F.substring("o_orderpriority", 1, 1).alias("mode"), F.when(key % 3 == 0, True).when(key % 3 == 1, False).alias("binary"),
+    )
+    rows = filters.of_mode(filters.of_origin(filters.ranked_rows(runs, "x"), "a", "x"), mode="1", binary=True)
+    return rows.select("row", F.round(F.col("x").cast("double"), 2).alias("x"))
 
 
 @query("SELECT doc_id, quality AS pred, toxic AS gt FROM labels")
