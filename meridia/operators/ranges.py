@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_path
+
 #: Rows a range holds on average, sampled keys a boundary is chosen from, and ranges at most (longer ones then).
-ROWS_PER_RANGE, KEYS_PER_RANGE, MOST_RANGES = 50_000, 50, 1_000
+ROWS_PER_RANGE, KEYS_PER_RANGE, MOST_RANGES = 50_000, 50, 10_000
 
 
-def range_of(df: DataFrame, keys: list[str]) -> Column:
-    """Number of the range of ``keys`` (ascending) a row falls into; ranges follow each other in key order.
+def range_of(df: DataFrame, keys: list[str]) -> Column | None:
+    """Number of the range of ``keys`` (ascending) a row falls into, None if there is one only; ranges follow each other in key order.
 
     Boundaries come from a hash sample of the keys whose size depends on the
     number of ranges only, so ranges are near even and rows with equal keys
@@ -19,14 +21,14 @@ def range_of(df: DataFrame, keys: list[str]) -> Column:
     n = df.count()
     ranges = min(-(-n // ROWS_PER_RANGE), MOST_RANGES)
     if ranges < 2:
-        return F.lit(0)
+        return None
     every = max(1, n // (ranges * KEYS_PER_RANGE))
     sample = df.where(F.pmod(F.xxhash64(*keys), F.lit(every)) == 0).select(*keys).orderBy(*keys).collect()
     cuts = sample[KEYS_PER_RANGE :: KEYS_PER_RANGE] if every > 1 else sample[:: max(1, len(sample) // ranges)][1:]
     types = dict(df.dtypes)
     cuts = [F.struct(*[F.lit(row[k]).cast(types[k]).alias(k) for k in keys]) for row in cuts]
     if not cuts:
-        return F.lit(0)
+        return None
     key = F.struct(*keys)
     step = max(1, int(len(cuts) ** 0.5))
     groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
@@ -41,15 +43,23 @@ def running_totals(df: DataFrame, by: list[str], keys: list[str], sums: dict[str
     The order is that of ``keys``, ascending, which should tell the rows of a
     group apart.  Totals per range come first, then each range is added up
     inside: a group of any size spreads over as many tasks as it has ranges.
+    The input is written once, as it is counted, sampled, summed and read.
     """
-    placed = df.withColumn("__range", range_of(df, keys))
+    path = scratch_path(df.sparkSession, "running")
+    df.write.parquet(path)
+    df = df.sparkSession.read.schema(df.schema).parquet(path)
+    until = Window.currentRow if inclusive else -1
+    number = range_of(df, keys)
+    if number is None:
+        whole = Window.partitionBy(*by or [F.lit(0)]).orderBy(*keys).rowsBetween(Window.unboundedPreceding, until)
+        return df.select(*df.columns, *[F.coalesce(F.sum(c).over(whole), F.lit(0)).alias(n) for c, n in sums.items()])
+    placed = df.withColumn("__range", number)
     totals = placed.groupBy(*by, "__range").agg(*[F.sum(c).alias(f"__t_{n}") for c, n in sums.items()])
     earlier = Window.partitionBy(*by or [F.lit(0)]).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*[F.col(c).alias(f"__b_{c}") for c in by], F.col("__range").alias("__r"), *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__t_{n}") for n in sums.values()])
     same = F.col("__range") == F.col("__r")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"__b_{c}"))
-    until = Window.currentRow if inclusive else -1
     inside = Window.partitionBy(*by, "__range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, until)
     joined = placed.join(totals, same)
     return joined.select(*df.columns, *[(F.col(f"__t_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(n) for c, n in sums.items()])

@@ -54,6 +54,13 @@ def cosine_topk(spark, sf_dir):
     return near.select("q", F.col("id").alias("vec_id"), (0.0 - F.col("d")).alias("cosine"), "rank")
 
 
+@query()
+def neighbour_blocks(spark, sf_dir):
+    """How many blocks of rows each query of the nearest-neighbour search is compared with, of how many."""
+    e = _embeddings(spark, sf_dir)
+    return neighbours.searched_blocks(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 10)
+
+
 @query(f"WITH {LONG}, {COS}, {SOFT} SELECT vec_id, pred, round(confidence, 6) AS confidence FROM z")
 def softmax_zero_shot(spark, sf_dir):
     return rounded(modality.zero_shot(_similar(spark, sf_dir), "vec_id"))
