@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import filters, metrics
-from ..sources import readers, writers
+from ..sources import readers, spreadsheets, writers
 from ..sources.scratch import scratch_path
 from .registry import query, rounded, table
 
@@ -121,6 +121,17 @@ def report_file(spark, sf_dir):
     return found.select(F.col("quality").cast("int").alias("quality"), F.col("n").cast("long").alias("n"), F.col("toxic_share").cast("double").alias("toxic_share"))
 
 
+@query("SELECT s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey, round(s_acctbal, 2) AS s_acctbal, s_acctbal > 0 AS positive, CASE WHEN s_suppkey % 3 > 0 THEN s_name || ' <&> ' || chr(233) END AS note FROM supplier")
+def excel_scan(spark, sf_dir):
+    """A table written as a workbook and read by its extension, typed by its cells."""
+    key = F.col("s_suppkey")
+    note = F.when(key % 3 > 0, F.concat("s_name", F.lit(" <&> é")))
+    rows = table(spark, sf_dir, "supplier").select(key.cast("long").alias("s_suppkey"), "s_name", F.col("s_nationkey").cast("long").alias("s_nationkey"), F.round(F.col("s_acctbal").cast("double"), 2).alias("s_acctbal"), (F.col("s_acctbal") > 0).alias("positive"), note.alias("note"))
+    path = scratch_path(spark, "book") + ".xlsx"
+    spreadsheets.write_excel(rows, path, order=["s_suppkey"])
+    return readers.read_table(spark, path)
+
+
 @query("SELECT DISTINCT lang AS label FROM documents WHERE lang IS NOT NULL")
 def annotation_classes(spark, sf_dir):
     return readers.read_annotations(table(spark, sf_dir, "documents"), "doc_id", "lang")[1]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from .spreadsheets import read_excel
 
 SPLITS = ("train", "validation", "test")
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "gif", "webp")
@@ -79,7 +80,7 @@ def read_splits(spark: SparkSession, root: str, splits: str, limit: int | None =
 
 
 def read_table(spark: SparkSession, path: str, n_rows: int | None = None, columns: list[str] | None = None) -> DataFrame:
-    """A CSV, TSV, JSON-lines or Parquet table by its extension; another one is a ``ValueError``."""
+    """A CSV, TSV, JSON-lines, Parquet or Excel table by its extension; another one is a ``ValueError``."""
     kind = os.path.splitext(path)[1].lower()
     readers = {
         ".csv": lambda: spark.read.csv(path, header=True, inferSchema=True),
@@ -87,6 +88,7 @@ def read_table(spark: SparkSession, path: str, n_rows: int | None = None, column
         ".jsonl": lambda: spark.read.json(path),
         ".json": lambda: spark.read.json(path, multiLine=True),
         ".parquet": lambda: spark.read.parquet(path),
+        ".xlsx": lambda: read_excel(spark, path),
     }
     if kind not in readers:
         raise ValueError(f"no reader for {kind or path!r}")
