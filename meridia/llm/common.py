@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections import Counter
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -124,3 +126,60 @@ def range_bucket(value: Column, boundaries: list) -> Column:
     fine = F.element_at(F.lit(groups), F.greatest(coarse, F.lit(1)))
     within = F.size(F.filter(fine, lambda b: b <= value))
     return F.when(value.isNull() | (coarse == 0), F.lit(0)).otherwise((coarse - 1) * step + within).cast("int")
+
+
+@dataclass(frozen=True)
+class Ranges:
+    """Ranges of rows in the order of an id, nulls first, and of a tie within an id.
+
+    ``own`` is a row's range from 0, ``opens`` whether its id and tie are those
+    its range begins with (never in the first), ``first`` whether they are the
+    least of all.
+    """
+
+    own: Column
+    opens: Column
+    first: Column
+    count: int
+
+
+def ordered_ranges(rows: DataFrame, id_col: str, tie: Column, parts: int) -> Ranges:
+    """About ``parts`` even ranges; an id that fills several of them, the null one too, is cut by its tie.
+
+    ``tie`` is a 64-bit hash.  Ids that fill a range are those that quantiles
+    name twice, so they are fewer than ``parts``, and only their ties are
+    looked at a second time.
+    """
+    value, points = F.col(id_col), [i / parts for i in range(1, parts)]
+    tie = F.shiftright(tie, 11)  # quantiles are exact up to 53 bits
+    accuracy = F.lit(max(10_000, 20 * parts))
+    whole = rows.agg(
+        F.percentile_approx(value, F.array(*map(F.lit, points or [0.5])), accuracy).alias("p"), F.min(value).alias("least"),
+        F.count(F.lit(1)).alias("n"), F.count(F.when(value.isNull(), 1)).alias("nulls"),
+    ).first()
+    named = Counter(whole["p"] or [] if points else [])
+    bounds = sorted(set(named) - {whole["least"]})
+    cuts = {v: n for v, n in named.items() if n > 1}
+    if whole["nulls"] and parts > 1:
+        cuts[None] = max(1, round(parts * whole["nulls"] / whole["n"]))
+    ties: dict = {}
+    if cuts:
+        wide = value.isNull() if None in cuts else F.lit(False)
+        wide = wide | value.isin([v for v in cuts if v is not None]) if set(cuts) - {None} else wide
+        for r in rows.where(wide).groupBy(id_col).agg(F.percentile_approx(tie, F.array(*map(F.lit, points)), accuracy).alias("p"), F.min(tie).alias("least")).collect():
+            k = min(cuts[r[id_col]], parts)
+            picked = {r["p"][len(points) * i // k] for i in range(1, k)} - {r["least"]}
+            ties[r[id_col]] = r["least"], sorted(picked)
+    own, opens = range_bucket(value, bounds), value.isin(bounds) if bounds else F.lit(False)
+    first = value.isNull() if whole["nulls"] else value.eqNullSafe(F.lit(whole["least"]))
+    if whole["nulls"] and None in ties:
+        first = first & (tie == F.lit(ties[None][0]))
+    elif whole["least"] in ties:
+        first = first & (tie == F.lit(ties[whole["least"]][0]))
+    for v, (least, inner) in ties.items():
+        here = value.eqNullSafe(F.lit(v))
+        after = value.isNotNull() if v is None else F.coalesce(value > F.lit(v), F.lit(False))
+        own = own + F.when(here, range_bucket(tie, inner)).when(after, F.lit(len(inner))).otherwise(F.lit(0))
+        starts = [*inner, *([least] if v in bounds else [])]
+        opens = F.when(here, tie.isin(starts) if starts else F.lit(False)).otherwise(opens)
+    return Ranges(own.cast("int"), F.coalesce(opens, F.lit(False)), F.coalesce(first, F.lit(False)), len(bounds) + sum(len(i) for _, i in ties.values()) + 1)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, clipped, range_boundaries, range_bucket, shuffle_parts
+from .common import arrow_rows, clipped, ordered_ranges, shuffle_parts
 
 P = np.uint64(2**31 - 1)
 BASES = (1_000_003, 822_616_071)
@@ -137,27 +137,21 @@ _FIELDS = {
 
 
 def in_ring_order(rows: DataFrame, id_col: str) -> DataFrame:
-    """Range-partition by id and sort, each range ending with its successor.
+    """Range-partition by id (and text hash) and sort, each range ending with its successor.
 
-    Ranges start at ids that occur, so the first row of the next range is also
+    Ranges start at rows that occur, so the first row of the next range is also
     sent to the range before it, and the very first to the last: the column
     ``successor`` marks those.  Rows travel once; a range needs no other.
     """
-    parts = shuffle_parts(rows.sparkSession)
-    bounds = range_boundaries(rows, id_col, parts)
-    ends = rows.agg(F.min(id_col).alias("least"), F.count(F.when(F.col(id_col).isNull(), 1)).alias("nulls")).first()
-    value = F.col(id_col)
-    own = range_bucket(value, bounds)
-    opens = F.when(value.isin(bounds), own - 1) if bounds else F.lit(None).cast("int")
-    first = value.isNull() if ends["nulls"] else value == F.lit(ends["least"])
-    wraps = F.when(first, F.lit(len(bounds)))
+    tie = F.xxhash64("text")
+    ranges = ordered_ranges(rows, id_col, tie, shuffle_parts(rows.sparkSession))
     places = F.array(
-        F.struct(own.alias("range"), F.lit(False).alias("successor")),
-        F.struct(opens.cast("int").alias("range"), F.lit(True).alias("successor")),
-        F.struct(wraps.cast("int").alias("range"), F.lit(True).alias("successor")),
+        F.struct(ranges.own.alias("range"), F.lit(False).alias("successor")),
+        F.struct(F.when(ranges.opens, ranges.own - 1).alias("range"), F.lit(True).alias("successor")),
+        F.struct(F.when(ranges.first, F.lit(ranges.count - 1)).alias("range"), F.lit(True).alias("successor")),
     )
     dealt = rows.withColumn("place", F.explode(F.filter(places, lambda p: p["range"].isNotNull()))).select(*rows.columns, "place.*")
-    return dealt.repartitionById(parts, F.col("range")).sortWithinPartitions("range", "successor", id_col, F.xxhash64("text"))
+    return dealt.repartitionById(ranges.count, F.col("range")).sortWithinPartitions("range", "successor", id_col, tie)
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

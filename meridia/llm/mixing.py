@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 Every document gets an exponential key ``-ln(u) / w`` from a hash of its id and
-its quality weight; within a source the smallest keys come first, and a prefix
+text and its quality weight; within a source the smallest keys come first, and a prefix
 sum of sizes in that order fills the source's budget.  Complete epochs precede
 the fractional selection.  The order within a source is cut into key ranges of
 about ``rows_per_range`` documents: prefix sums run over the ranges' totals and
@@ -21,9 +21,10 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
 
 
-def exponential_key(doc_id: Column, weight: Column, seed: int) -> Column:
-    """``-ln(u) / w`` with u in (0, 1] from the md5 of seed and id."""
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13)
+def exponential_key(doc_id: Column, text: Column, weight: Column, seed: int) -> Column:
+    """``-ln(u) / w`` with u in (0, 1] from the md5 of seed, id and the text's md5, so rows of one id spread, too."""
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    digits = F.substring(F.md5(name), 1, 13)
     u = (F.conv(digits, 16, 10).cast("double") + 1) / F.lit(float(2**52))
     return -F.log(u) / weight
 
@@ -64,6 +65,7 @@ def mix_sources(
     cycle: int = 3,
     cap: float = 3.0,
     rows_per_range: int = 10_000,
+    with_hash: bool = False,
 ) -> DataFrame:
     """How many words of each document the mix takes.
 
@@ -72,20 +74,22 @@ def mix_sources(
     size, source_size, target, taken``, one row per input row.  The budget of a
     source is its target rounded to words; the document at the budget's edge is
     taken in part.  Null text has size 0 and takes 0, a null source is a source
-    of its own, repeated rows count separately (ties fall by id and size), and
-    an empty table gives an empty result.
+    of its own, repeated rows count separately (ties fall by id and size; rows
+    that share an id, the null one too, have keys of their own unless their
+    texts are equal), and an empty table gives an empty result.  ``with_hash``
+    adds ``text_hash``, which tells the texts of an id apart.
     """
     rows = clipped(docs, id=id_col, text=text_col, source=source_col)
-    rows = rows.select("id", "source", count_words(F.col("text")).alias("size"))
+    rows = rows.select("id", "source", count_words(F.col("text")).alias("size"), exponential_key(F.col("id"), F.col("text"), F.lit(1.0), seed).alias("plain"), F.xxhash64("text").alias("text_hash"))
     if quality is None:
         rows = rows.withColumn("weight", F.lit(1.0))
     else:
         extra = quality.groupBy(F.col("doc_id").alias("id")).agg(F.greatest(F.lit(1.0), F.max("weight").cast("double")).alias("weight"))
         rows = rows.join(extra, "id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     rows = rows.select(
-        "id", "source", "size",
+        "id", "source", "size", "text_hash",
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("source_key"),
-        exponential_key(F.col("id"), F.col("weight"), seed).alias("key"),
+        (F.col("plain") / F.col("weight")).alias("key"),
     )
     rows = staged(rows, "sizes")
 
@@ -109,7 +113,7 @@ def mix_sources(
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - (F.col("upto") - F.col("size"))))
     return placed.select(
         F.col("id").alias("doc_id"), "source", "size", "source_size", "target",
-        (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"),
+        (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), *(["text_hash"] if with_hash else []),
     )
 
 
@@ -125,23 +129,24 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A document is repeated ``round(taken / size)`` times, so complete epochs
     repeat and the document at a budget's edge is in when at least half of it
     is.  Documents without a word, null texts too, take no part.  Copies are
-    decided on ids and sizes; the texts then meet them in one join.  Rows that
-    share an id, the null one too, share its copies evenly, the first by text
-    hash taking the remainder.  An empty table gives an empty result.
+    decided on ids, text hashes and sizes; the texts then meet them in one
+    join, so rows that share an id, the null one too, are told apart by their
+    texts.  Rows that share both share their copies evenly, some of them taking
+    the remainder.  An empty table gives an empty result.
     """
     key, n, rows, text, share = free_names(docs, "id", "copies", "rows", "text_hash", "share")
-    taken = mix_sources(docs, id_col, text_col, source_col, **options)
-    copies = taken.where("size > 0").groupBy(F.col("doc_id").alias(key)).agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).alias(n), F.count(F.lit(1)).alias(rows))
+    taken = mix_sources(docs, id_col, text_col, source_col, with_hash=True, **options)
+    copies = taken.where("size > 0").groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(text)).agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).alias(n), F.count(F.lit(1)).alias(rows))
     copies = staged(copies.where(F.col(n) > 0), "copies")
     here = docs.where(count_words(docs[text_col]) > 0)
 
     def met(side: DataFrame) -> DataFrame:
         side = small_side(side)
-        return here.join(side, here[id_col].eqNullSafe(side[key]))
+        return here.join(side, here[id_col].eqNullSafe(side[key]) & (F.xxhash64(here[text_col]) == side[text]))
 
     single = met(copies.where(F.col(rows) == 1)).withColumn(share, F.col(n).cast("int"))
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(text))
-    several = met(copies.where(F.col(rows) > 1)).withColumn(text, F.xxhash64(text_col))
-    several = several.withColumn(share, F.floor((F.col(n) + F.col(rows) - nth) / F.col(rows)).cast("int")).where(F.col(share) > 0).drop(text)
+    nth = F.row_number().over(Window.partitionBy(key, text).orderBy(F.lit(0)))
+    several = met(copies.where(F.col(rows) > 1))
+    several = several.withColumn(share, F.floor((F.col(n) + F.col(rows) - nth) / F.col(rows)).cast("int")).where(F.col(share) > 0)
     both = single.unionByName(several)
     return both.withColumn(share, F.explode(F.sequence(F.lit(1), F.col(share)))).select(*[F.col(f"`{c}`") for c in docs.columns])

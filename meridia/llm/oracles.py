@@ -7,7 +7,7 @@ WITH w AS (
 ), d AS (
   SELECT doc_id, source,
          CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-         -ln((('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 1)::DOUBLE / 4503599627370496.0)
+         -ln((('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT + 1)::DOUBLE / 4503599627370496.0)
            / coalesce(w.weight, 1.0) AS key
   FROM documents LEFT JOIN w USING (doc_id)
 ), s AS (

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .chunk_table import ChunkTable
-from .common import arrow_rows, clipped, range_boundaries, range_bucket, shuffle_parts, staged
+from .common import arrow_rows, clipped, ordered_ranges, shuffle_parts, staged
 
 MAGIC = b"MTK1"
 HEADER = struct.Struct("<4sHIQQQ")
@@ -165,10 +165,9 @@ def write_token_shards(
     text counts as empty.  An empty table gives an empty table.
     """
     rows = clipped(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    parts = shuffle_parts(docs.sparkSession)
-    bounds = range_boundaries(rows, "doc_id", parts)
-    ordered = rows.repartitionById(parts, range_bucket(F.col("doc_id"), bounds))
-    ordered = ordered.sortWithinPartitions("doc_id", F.xxhash64("text"))
+    tie = F.xxhash64("text")
+    ranges = ordered_ranges(rows, "doc_id", tie, shuffle_parts(docs.sparkSession))
+    ordered = rows.repartitionById(ranges.count, ranges.own).sortWithinPartitions("doc_id", tie)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(tokenizer_path)

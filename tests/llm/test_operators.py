@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from meridia.llm import class_lm, exact_dedup, fingerprints, language_id, licences, mixing, ngram_join, pieces, token_files, toxicity
-from meridia.llm.common import range_bucket
+from meridia.llm.common import ordered_ranges, range_bucket
 from meridia.llm.components import connected_components
 
 from .conftest import LONG, ROWS
@@ -604,3 +604,45 @@ def test_kneser_ney_sums_to_one():
 
 def test_long_text_is_read_whole():
     assert len(ngram_join.shingle_set(LONG)) == 2 and len(language_id.letters(LONG)) == len(LONG) + 3
+
+
+# ranges of ids that repeat
+
+
+@pytest.mark.parametrize("kind", ["nulls", "repeated", "both", "plain", "one"])
+def test_no_range_holds_all_rows_of_an_id(spark, kind):
+    def name(i):
+        return {"nulls": None if i % 3 == 0 else i, "repeated": 500 if i % 3 == 0 else i, "both": None if i % 3 == 0 else 7 if i % 3 == 1 else i, "plain": i, "one": 1}[kind]
+
+    rows = [(name(i), f"text {i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    tie = F.xxhash64("text")
+    ranges = ordered_ranges(df, "doc_id", tie, 12)
+    got = df.select("doc_id", tie.alias("h"), ranges.own.alias("r"), ranges.opens.alias("o"), ranges.first.alias("f")).collect()
+    got.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
+    assert [r.r for r in got] == sorted(r.r for r in got) and {r.r for r in got} == set(range(ranges.count))
+    assert max(Counter(r.r for r in got).values()) <= 900 / 12 * 2.5
+    opens = [i for i in range(1, 900) if got[i].r != got[i - 1].r]
+    assert all(got[i].o for i in opens) and sum(r.o for r in got) <= 3 * len(opens)
+    assert got[0].f and sum(r.f for r in got) <= 2
+
+
+@pytest.mark.parametrize("kind", ["nulls", "repeated"])
+def test_results_with_a_third_of_the_ids_alike(spark, kind):
+    same = None if kind == "nulls" else 40
+    rows = [(same if i % 3 == 0 else i, f"word{i} text {'x' * (i % 7)} end{i % 11}", f"s{i % 2}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    order = [r.text for r in docs.orderBy(F.asc_nulls_first("doc_id"), F.xxhash64("text")).collect()]
+    place = {t: order[(i + 1) % 120] for i, t in enumerate(order)}
+    got = fingerprints.fingerprint_documents(docs).collect()
+    edited = Counter(hashlib.sha256((t[: len(t) - len(t) // 2] + place[t][: len(t) // 2]).encode()).hexdigest() for t in order)
+    assert Counter(r.edited_sha256 for r in got) == edited
+    tokenizer = Tokenizer.from_file(BPE)
+    found = sorted(token_files.read_documents(token_files.write_token_shards(docs, BPE)).collect(), key=lambda r: r.start)
+    assert [tuple(r.ids[:-1]) for r in found] == [tuple(tokenizer.encode(t, add_special_tokens=False).ids) for t in order]
+    taken = mixing.mix_sources(docs, with_hash=True).collect()
+    assert len({r.text_hash for r in taken}) == 120 and all(0 <= r.taken <= 3 * r.size for r in taken)
+    mixed = Counter(r.text for r in mixing.mixed_documents(docs).collect())
+    by = {r.text_hash: r for r in taken}
+    hashed = {r.text: by[r.h] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    assert mixed == Counter({t: int(r.taken / r.size + 0.5) for t, r in hashed.items() if int(r.taken / r.size + 0.5)})
