@@ -9,11 +9,11 @@ with either; what the toxic dictionary saves against the ordinary one is a
 window's gain.  Matches have ``GRAM`` bytes at least, so a window that shares no
 run of that length with the toxic dictionary cannot gain; such windows are
 recognised in one array pass and count as none.  A window stands between two
-fixed frames that both dictionaries hold, and an empty window's gain is taken
-off, so that a block's fixed cost cancels.
+fixed frames that both dictionaries hold, and the gain of windows strange to
+both is taken off, so that a block's fixed cost cancels.
 A document's features are how many of its windows reach each step of gain,
-absolute and for its length; calibration documents, which neither dictionary has
-seen, set the weights that turn them into a probability.
+absolute and for its length.  The weights that turn them into a probability are
+set on documents measured with dictionaries that haven't seen them.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from .common import arrow_rows, clipped
 
 #: ASCII letters are lower-cased before; letters, digits and all beyond ASCII stay.
 _TO_WORDS = bytes(b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
-HEAD, TAIL = b" this frame stands before each window: ", b" :and this one follows it."
+HEAD, TAIL = b" this frame stands before each window:", b":and this one follows it."
 #: A run without blanks longer than this becomes windows of this many bytes, each overlapping the next by half.
 LONGEST = 64
 #: Words of a running window.
@@ -46,6 +46,8 @@ PHRASE = 3
 GRAM, LEAST_DOCS = 6, 4
 #: zstandard's level; what matters is its shortest match.
 LEVEL = 3
+#: The size that zstandard sets its tables for, whatever a dictionary holds, so that both compress alike.
+DICT_BOUND = 1 << 18
 #: Steps of gain in bytes, for single words and for running windows.
 WORD_STEPS, PHRASE_STEPS = (2, 3, 4, 5, 6, 7, 8), (3, 4, 6, 8, 10)
 #: Windows compressed at once.
@@ -67,7 +69,7 @@ def running_windows(words: list[bytes]) -> list[bytes]:
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     content += HEAD + TAIL
-    settings = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(content), source_size=256, min_match=GRAM, write_content_size=False, write_checksum=False, write_dict_id=False)
+    settings = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=DICT_BOUND, source_size=256, min_match=GRAM, write_content_size=False, write_checksum=False, write_dict_id=False)
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     held.precompute_compress(compression_params=settings)
     return zstandard.ZstdCompressor(dict_data=held, compression_params=settings)
@@ -99,12 +101,21 @@ def document_counts(texts: list[list[bytes]]) -> Counter:
 
 
 def train_dictionary(size: int, texts: list[list[bytes]]) -> bytes:
-    """The content trained on texts given as words; the texts themselves where there are too few to train on."""
+    """The content trained on texts given as words; the texts themselves where there are too few to train on.
+
+    The trainer now and then gives up with hardly any content; longer segments
+    are tried then.
+    """
     samples = [b" %b " % b" ".join(words) for words in texts if words]
-    try:
-        return zstandard.train_dictionary(size, samples, k=16, d=GRAM).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+    enough = min(size, sum(map(len, samples))) // 4
+    for segment in (16, 24, 32, 48):
+        try:
+            content = zstandard.train_dictionary(size, samples, k=segment, d=GRAM).as_bytes()
+        except zstandard.ZstdError:
+            break
+        if len(content) >= enough:
+            return content
+    return b"".join(samples)[-size:]
 
 
 @dataclass
@@ -150,13 +161,13 @@ class Scorer:
         return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
     def gains(self, windows: list[bytes]) -> np.ndarray:
-        """Bytes that the toxic dictionary saves against the ordinary one on each window, beyond what it saves on an empty one."""
+        """Bytes that the toxic dictionary saves against the ordinary one on each window, beyond what it saves on windows strange to both."""
         return self.saved(windows) - self.fixed
 
     @cached_property
     def fixed(self) -> int:
-        """What dictionaries of different sizes differ by on any block."""
-        return int(self.saved([b""])[0])
+        """What the dictionaries differ by on any block: the median over windows of control bytes, which no word holds."""
+        return int(np.median(self.saved([bytes(range(1, n)) for n in range(4, 17)])))
 
     def saved(self, windows: list[bytes]) -> np.ndarray:
         out = []
@@ -232,35 +243,57 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 3.0, rounds: int =
     return w, mean, scale, float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
 
 
-def fit(samples: Iterable[tuple[str, int, bool]], ordinary_size: int = 262_144, toxic_sizes: tuple[int, ...] = (4096, 8192), lifts: tuple[float, ...] = (4.0, 6.0, 9.0)) -> ToxicityModel:
-    """Fit on ``(text, toxic, calibrates)`` samples.
+@dataclass
+class _Fold:
+    """Texts of one fold as words, by class, and how many hold each run."""
+
+    toxic: list[list[bytes]]
+    plain: list[list[bytes]]
+
+    def __post_init__(self):
+        self.among_toxic, self.among_plain = document_counts(self.toxic), document_counts(self.plain)
+
+
+def dictionaries(folds: list[_Fold], lift: float, ordinary_size: int, toxic_size: int) -> ToxicityModel:
+    """A model of two dictionaries trained on some folds, still without weights."""
+    toxic, plain = [t for f in folds for t in f.toxic], [t for f in folds for t in f.plain]
+    among_toxic, among_plain = (sum((c for c in counts), Counter()) for counts in ([f.among_toxic for f in folds], [f.among_plain for f in folds]))
+    least = min(LEAST_DOCS, len(toxic))
+    lifted = {g for g, n in among_toxic.items() if n >= least and n / len(toxic) > lift * (among_plain[g] + 1) / (len(plain) + 1)}
+    telling = {w for texts in (toxic, plain) for words in texts for w in words}
+    telling = {w for w in telling if not lifted.isdisjoint(runs_of(w))}
+    ordinary = train_dictionary(ordinary_size, [[w for w in words if w not in telling] for words in plain])
+    return ToxicityModel(ordinary, train_dictionary(toxic_size, [[w for w in words if w in telling] for words in toxic]))
+
+
+def fit(samples: Iterable[tuple[str, int, int]], ordinary_size: int = 131_072, toxic_sizes: tuple[int, ...] = (4096, 8192), lifts: tuple[float, ...] = (6.0,)) -> ToxicityModel:
+    """Fit on ``(text, toxic, fold)`` samples.
 
-    Both dictionaries are trained on the whole texts that don't calibrate; of
-    the toxic dictionary's sizes and lifts those with the least calibrated log
-    loss are taken.  Without both classes on both sides every text scores 0.
+    The documents of each fold are measured with dictionaries trained on the
+    other folds; these measures set the weights, and lift and size with the
+    least log loss are taken.  The model's own dictionaries are then trained on
+    all folds.  Without both classes outside two folds every text scores 0.
     """
     samples = list(samples)
-    toxic = [units(t) for t, y, c in samples if y and not c]
-    plain = [units(t) for t, y, c in samples if not y and not c]
-    held = [(t, y) for t, y, c in samples if c]
-    y = np.array([v for _, v in held], float)
-    if not toxic or not plain or len(set(y)) < 2:
+    names = sorted({f for _, _, f in samples})
+    folds = {f: _Fold([units(t) for t, y, g in samples if y and g == f], [units(t) for t, y, g in samples if not y and g == f]) for f in names}
+    others = {f: [folds[g] for g in names if g != f] for f in names}
+    able = [f for f in names if any(g.toxic for g in others[f]) and any(g.plain for g in others[f])]
+    held = [(t, y, f) for t, y, f in samples if f in able]
+    y = np.array([v for _, v, _ in held], float)
+    if len(able) < 2 or len(set(y)) < 2:
         return ToxicityModel()
-    among_toxic, among_plain = document_counts(toxic), document_counts(plain)
     tried = []
     for lift in lifts:
-        lifted = {g for g, n in among_toxic.items() if n >= min(LEAST_DOCS, len(toxic)) and n / len(toxic) > lift * (among_plain[g] + 1) / (len(plain) + 1)}
-        telling = {w for texts in (toxic, plain) for words in texts for w in words}
-        telling = {w for w in telling if not lifted.isdisjoint(runs_of(w))}
-        ordinary = train_dictionary(ordinary_size, [[w for w in words if w not in telling] for words in plain])
-        pure = [[w for w in words if w in telling] for words in toxic]
         for size in toxic_sizes:
-            model = ToxicityModel(ordinary, train_dictionary(size, pure))
-            scorer = model.scorer()
-            x = np.array([scorer.features(t) for t, _ in held])
-            model.weights, model.mean, model.scale, loss = fit_logistic(x, y)
-            tried.append((loss, len(tried), model))
-    return min(tried)[2]
+            scorers = {f: dictionaries(others[f], lift, ordinary_size, size).scorer() for f in able}
+            x = np.array([scorers[f].features(t) for t, _, f in held])
+            weights, mean, scale, loss = fit_logistic(x, y)
+            tried.append((loss, len(tried), lift, size, (weights, mean, scale)))
+    _, _, lift, size, found = min(tried, key=lambda t: t[:2])
+    model = dictionaries(list(folds.values()), lift, ordinary_size, size)
+    model.weights, model.mean, model.scale = found
+    return model
 
 
 def train(
@@ -269,6 +302,7 @@ def train(
     per_class: tuple[int, int] = (4000, 2000),
     max_chars: int = 40_000_000,
     longest: int = 1_000_000,
+    folds: int = 3,
     seed: int = 5,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -277,7 +311,7 @@ def train(
 
     ``labels`` has ``doc_id, toxic``.  About ``per_class`` documents with label
     0 and 1, of about ``max_chars`` characters a class at most and ``longest``
-    each, are chosen by a hash of their ids, two fifths of them to calibrate.
+    each, are chosen by a hash of their ids, which also deals them into folds.
     Rows without a label, and labels without a document, are left out; of
     several labels of an id the highest counts, and every row of a repeated id
     is a sample.  Null and empty texts are samples without a window.  Without
@@ -290,11 +324,11 @@ def train(
     most = F.when(F.col("toxic") == 1, F.lit(float(per_class[1]))).otherwise(F.lit(float(per_class[0])))
     share = share.select("toxic", F.least(F.lit(1.0), most / F.col("n"), F.lit(float(max_chars)) / F.greatest(F.col("chars"), F.lit(1))).alias("share"))
     u = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), F.lit(1_000_000)) / 1e6
-    chosen = known.join(F.broadcast(share), "toxic").where(u < F.col("share")).select("doc_id", "toxic", (u > 0.6 * F.col("share")).alias("calibrates"))
+    chosen = known.join(F.broadcast(share), "toxic").where(u < F.col("share")).select("doc_id", "toxic", F.floor(u / F.col("share") * folds).cast("int").alias("fold"))
     rows = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= longest).join(F.broadcast(chosen), "doc_id")
-    picked = rows.select("doc_id", "text", "toxic", "calibrates").collect()  # about sum(per_class) documents, 2 * max_chars characters
+    picked = rows.select("doc_id", "text", "toxic", "fold").collect()  # about sum(per_class) documents, 2 * max_chars characters
     picked.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return fit([(r["text"], int(r["toxic"]), r["calibrates"]) for r in picked])
+    return fit([(r["text"], int(r["toxic"]), r["fold"]) for r in picked])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -276,14 +276,17 @@ def test_toxicity_score_is_that_of_a_plain_scorer():
 
     def size(content, window):
         content += toxicity.HEAD + toxicity.TAIL
-        settings = zstandard.ZstdCompressionParameters.from_level(3, dict_size=len(content), source_size=256, min_match=6, write_content_size=False, write_checksum=False, write_dict_id=False)
+        settings = zstandard.ZstdCompressionParameters.from_level(3, dict_size=2**18, source_size=256, min_match=6, write_content_size=False, write_checksum=False, write_dict_id=False)
         held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         held.precompute_compress(compression_params=settings)
         c = zstandard.ZstdCompressor(dict_data=held, compression_params=settings)
         return len(c.compress(toxicity.HEAD + b" " + window + b" " + toxicity.TAIL))
 
     def gain(window):
-        return size(model.ordinary, window) - size(model.toxic, window) - size(model.ordinary, b"") + size(model.toxic, b"")
+        return size(model.ordinary, window) - size(model.toxic, window) - fixed
+
+    strange = [size(model.ordinary, w) - size(model.toxic, w) for w in (bytes(range(1, n)) for n in range(4, 17))]
+    fixed = sorted(strange)[6]
 
     for text in ("", None, "vilething", *[r[1] for r in toxic_corpus(8)], "Straße 7 " + "x" * 100, "a nastyword, b", "vile thing nasty word"):
         words = re.sub("[^a-z0-9\x80-\U0010ffff]+", " ", (text or "").lower()).split()
