@@ -70,14 +70,15 @@ class PieceCodec:
         return ",".join(ids), "".join(decoded)[1:]
 
 
-def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = ("ids", "decoded"), table_limit: int = 300_000) -> DataFrame:
     """``doc_id`` and the asked-for columns of each document, whole text, no shuffle.
 
     ``ids`` are those of the library without begin or end ids, ``decoded`` is
     what its ``decode(ids)`` gives; ``n_tokens`` and the SHA-256 digests (of
     the decimal ids joined by commas, of the decoded text in UTF-8) derive from
     them.  A null text counts as empty and has no ids.  Repeated rows give
-    repeated results; an empty table gives an empty result.
+    repeated results; an empty table gives an empty result.  A task remembers
+    ``table_limit`` distinct chunks; it bounds memory, results don't hang on it.
     """
     if unknown := set(columns) - set(COLUMNS):
         raise ValueError(f"unknown columns {sorted(unknown)}")
@@ -85,7 +86,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     schema = T.StructType([rows.schema["doc_id"], *[T.StructField(c, COLUMNS[c]) for c in columns]])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model_path, limit=300_000)
+        codec = PieceCodec(model_path, limit=table_limit)
         derive = {
             "ids": lambda ids, _: np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32),
             "n_tokens": lambda ids, _: ids.count(",") + 1 if ids else 0,
