@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, with the text they decode to; a null text has no id."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    return pieces.encode_pieces(docs, path, columns=("n_tokens", "ids", "decoded_sha256"))
+    return pieces.encode_pieces(docs, path, columns=("n_tokens", "ids", "decoded_sha256"), table_limit=60_000)
 
 
 STAGES = [
