@@ -67,9 +67,11 @@ def word_counts(df: DataFrame, words: str, by: list[str], least: int = 1) -> Dat
 
 
 def verify(df: DataFrame, required: list[str], domains: dict[str, list], expected: int | None, id_col: str) -> DataFrame:
-    """One row: row count, missing fields, values outside their domain, first bad ids, verdict.
+    """One row: row count, missing fields, values outside their domain, the first five bad ids, verdict.
 
-    Columns the table lacks altogether are named in ``missing_columns``.
+    Ids compare as text; ``bad_ids`` holds those of up to five bad rows, the
+    smallest first, null ids left out.  Columns the table lacks altogether are
+    named in ``missing_columns``.
     """
     absent = [c for c in required if c not in df.columns]
     here = [c for c in required if c in df.columns]
@@ -82,6 +84,8 @@ def verify(df: DataFrame, required: list[str], domains: dict[str, list], expecte
             outside = outside | ~F.coalesce(F.col(c).isin(*values), F.lit(False))
     marked = df.select(F.col(id_col).cast("string").alias("id"), empty.alias("empty"), outside.alias("outside"))
     out = marked.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("empty").alias("n_missing"), F.count_if("outside").alias("n_outside"), F.min(F.when(F.col("empty") | F.col("outside"), F.col("id"))).alias("first_bad_id"))
+    bad = marked.where((F.col("empty") | F.col("outside")) & F.col("id").isNotNull()).orderBy("id").limit(5)
+    out = out.crossJoin(F.broadcast(bad.agg(F.sort_array(F.collect_list("id")).alias("bad_ids"))))  # one row each
     ok = (F.col("n_missing") == 0) & (F.col("n_outside") == 0) & F.lit(not absent)
     if expected is not None:
         ok = ok & (F.col("n_rows") == expected)

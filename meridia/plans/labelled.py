@@ -296,7 +296,7 @@ def correlation_matrix(spark, sf_dir):
     return rounded(profiling.correlation_matrix(table(spark, sf_dir, "lineitem"), _NUMBERS))
 
 
-@query("SELECT count(*) AS n_rows, count(*) FILTER (WHERE text IS NULL OR trim(text) = '' OR lang IS NULL) AS n_missing, count(*) FILTER (WHERE lang IS NULL OR lang NOT IN ('en', 'fr', 'de')) AS n_outside, min(CASE WHEN text IS NULL OR trim(text) = '' OR lang IS NULL OR lang NOT IN ('en', 'fr', 'de') THEN doc_id::VARCHAR END) AS first_bad_id, '' AS missing_columns, FALSE AS valid FROM documents")
+@query("SELECT count(*) AS n_rows, count(*) FILTER (WHERE text IS NULL OR trim(text) = '' OR lang IS NULL) AS n_missing, count(*) FILTER (WHERE lang IS NULL OR lang NOT IN ('en', 'fr', 'de')) AS n_outside, min(CASE WHEN text IS NULL OR trim(text) = '' OR lang IS NULL OR lang NOT IN ('en', 'fr', 'de') THEN doc_id::VARCHAR END) AS first_bad_id, (SELECT list(i ORDER BY i) FROM (SELECT doc_id::VARCHAR AS i FROM documents WHERE text IS NULL OR trim(text) = '' OR lang IS NULL OR lang NOT IN ('en', 'fr', 'de') ORDER BY i LIMIT 5)) AS bad_ids, '' AS missing_columns, FALSE AS valid FROM documents")
 def dataset_verify(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return profiling.verify(docs, ["text", "lang"], {"lang": ["en", "fr", "de"]}, None, "doc_id")
