@@ -40,8 +40,8 @@ PERCENT = 75
 #: buckets grow in number with the data, chance equality stays under one in 100 million.
 BITS = 48
 #: Shingles a task gathers before it sends blocks, and that a bucket holds on average.
-FLUSH = 1_000_000
-PER_BUCKET = 2_000_000
+FLUSH = 600_000
+PER_BUCKET = 1_500_000
 #: Index classes and their shingles that a search bucket holds on average.
 PER_INDEX, INDEX_SHINGLES = 500, 500_000
 #: Sizes and counts travel in two bytes; larger sizes saturate, larger counts are split.
