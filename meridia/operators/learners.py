@@ -27,6 +27,8 @@ from .forests import TreeTable, matrix
 
 #: Rows of one ordered block of an online pass.
 SHARD = 20_000
+#: Bytes of summed arrays that one Arrow batch holds.
+PACK = 1 << 20
 
 
 def entries(features: str) -> Column:
@@ -55,10 +57,26 @@ def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
 
 
+def packed(cells: Iterator[tuple[int, np.ndarray]], fields: Callable[[list[int]], list[pa.Array]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Keys and their arrays as Arrow batches of about ``PACK`` bytes, so that many small arrays share a batch."""
+    keys, held, size = [], [], 0
+    for key, found in cells:
+        keys.append(key)
+        held.append(np.ascontiguousarray(found, dtype=float).tobytes())
+        size += len(held[-1]) + 8
+        if size >= PACK:
+            yield pa.RecordBatch.from_arrays([*fields(keys), pa.array(held, pa.binary())], names=names)
+            keys, held, size = [], [], 0
+    if keys:
+        yield pa.RecordBatch.from_arrays([*fields(keys), pa.array(held, pa.binary())], names=names)
+
+
 def summed(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], dict[int, np.ndarray]], finish: Callable[[int, np.ndarray], np.ndarray] | None = None, join=np.add) -> dict[int, np.ndarray]:
     """A pass: what the tasks make of their batches, joined by key (added, unless told otherwise) and finished there.
 
-    Partial arrays of a key are joined in the order of their partitions.
+    Partial arrays of a key are joined in the order of their partitions.  The
+    tasks that join are as many as the arrays' bytes call for, so that a pass
+    over few keys is not mostly the start of empty tasks.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,30 +84,26 @@ def summed(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], dict[int,
 
         found = work(b for b in batches if b.num_rows)
         part = TaskContext.get().partitionId()
-        for key, cells in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([part], pa.int32()), pa.array([np.ascontiguousarray(cells, dtype=float).tobytes()], pa.binary())], names=["key", "part", "cells"])
+        yield from packed(found.items(), lambda keys: [pa.array(keys, pa.int64()), pa.array([part] * len(keys), pa.int32())], ["key", "part", "cells"])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         now, held = None, None
-
-        def out() -> pa.RecordBatch:
-            made = held if finish is None else finish(now, held)
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.ascontiguousarray(made, dtype=float).tobytes()], pa.binary())], names=["key", "cells"])
-
         for batch in batches:
             for key, cells in zip(batch.column(0).to_pylist(), batch.column(2)):
                 own = np.frombuffer(cells.as_buffer(), float)
                 if key != now:
                     if held is not None:
-                        yield out()
+                        yield now, held if finish is None else finish(now, held)
                     now, held = key, own
                 else:
                     held = join(held, own)
         if held is not None:
-            yield out()
+            yield now, held if finish is None else finish(now, held)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed(joined(batches), lambda keys: [pa.array(keys, pa.int64())], ["key", "cells"])
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sums = rows.mapInArrow(partial, "key long, part int, cells binary").repartition(parts, "key").sortWithinPartitions("key", "part")
+    sums = rows.mapInArrow(partial, "key long, part int, cells binary").repartition("key").sortWithinPartitions("key", "part")
     return {r["key"]: np.frombuffer(r["cells"], float) for r in sums.mapInArrow(merge, "key long, cells binary").collect()}
 
 

@@ -24,6 +24,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import remove, scratch_path
 from . import learners
 from .features import class_weights
 from .filters import has_negative
@@ -121,12 +122,19 @@ def sweep(train: DataFrame, test: DataFrame, names: Iterable[str], id_col: str,
 
     A failing family never ends the sweep: its status tells why, and is ``OK``
     otherwise; what its data didn't cause is tried twice.  ``at_once`` families
-    are fitted at the same time.  Counting families are skipped where a
+    are fitted at the same time.  Both sides are written once: read back, they
+    lie in as many partitions as their bytes call for, however many the plan
+    that made them shuffled into.  Counting families are skipped where a
     training feature is negative.  ``balance`` weighs rows by class for the
     families that take weights.
     """
     names = list(names)
-    train, test = (d.persist() for d in (balanced(train) if balance else train, test))
+    spark, paths, written = train.sparkSession, [], []
+    for d in (balanced(train) if balance else train, test):
+        paths.append(scratch_path(spark, "sweep"))
+        d.write.parquet(paths[-1])
+        written.append(spark.read.schema(d.schema).parquet(paths[-1]))
+    train, test = written[0].persist(), written[1]
     negative = has_negative(train.select(vector_to_array("features").alias("v")), "v") if COUNTING & set(names) else False
     params = {"weightCol": "weight"}
 
@@ -145,8 +153,8 @@ def sweep(train: DataFrame, test: DataFrame, names: Iterable[str], id_col: str,
     out = None
     for rows, _ in found.values():
         out = rows if out is None else out if rows is None else out.unionByName(rows)
-    for held in (train, test):
-        held.unpersist()
+    train.unpersist()
+    remove(spark, paths[0])
     return out, {name: status for name, (_, status) in found.items()}
 
 
