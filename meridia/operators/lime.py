@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .forests import matrix
+from .selection import order_statistics
 
 BINS = 4
 #: Perturbed rows that one Arrow batch holds, and characters of perturbed text.
@@ -27,11 +28,18 @@ ROWS, CHARS = 2000, 2_000_000
 
 
 def quartile_edges(train: DataFrame, vector_col: str) -> np.ndarray:
-    """A row a feature: least value, quartiles and largest value over the training vectors, by ``percentile_approx``."""
-    entries = train.select(F.posexplode(vector_col).alias("i", "v")).where("v is not null and not isnan(v)")
-    points = entries.groupBy("i").agg(F.min("v").alias("lo"), F.percentile_approx("v", [0.25, 0.5, 0.75], 10_000).alias("q"), F.max("v").alias("hi"))
-    found = {r["i"]: [r["lo"], *r["q"], r["hi"]] for r in points.collect()}  # five numbers a feature
-    return np.array([found.get(i, [0.0] * 5) for i in range(max(found, default=-1) + 1)], float).reshape(-1, 5)
+    """A row a feature: least value, quartiles and largest value over the training vectors' numbers, exact.
+
+    The quartile of share ``p`` among ``n`` values is the one of rank
+    ``ceil(p * n)``, from 1.
+    """
+    width = train.agg(F.max(F.size(vector_col)).alias("d")).first()["d"] or 0
+    entry = [F.get(vector_col, F.lit(i)).cast("double") for i in range(max(0, width))]
+    values = train.select(*[F.when(~F.isnan(v), v).alias(f"f{i}") for i, v in enumerate(entry)])
+    counts = values.agg(F.lit(0).alias("none"), *[F.count(c).alias(c) for c in values.columns]).first()
+    shares = {c: [0, *[math.ceil(counts[c] * p) - 1 for p in (0.25, 0.5, 0.75)], counts[c] - 1] for c in values.columns if counts[c]}
+    found = order_statistics(values, shares) if shares else {}
+    return np.array([[found[c][r] for r in shares[c]] if c in shares else [0.0] * 5 for c in values.columns], float).reshape(-1, 5)
 
 
 def draws(seed: int, name, samples: int, width: int) -> np.ndarray:

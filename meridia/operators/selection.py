@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bits of a key that one pass settles; four passes settle a double.
@@ -30,8 +30,9 @@ def order_statistics(df: DataFrame, ranks: dict[str, list[int]]) -> dict[str, di
 
     A pass counts, for every column and every prefix of key bits that a wanted
     rank lies under, the next ``BITS`` bits; a task sends on a count for each
-    it meets, so nothing holds the column's values.  All columns and ranks
-    share the passes.
+    it meets, so nothing holds the column's values.  Spark adds the counts up
+    along a prefix's digits, and the driver gets the digit of each wanted rank.
+    All columns and ranks share the passes.
     """
     columns = list(ranks)
     at = {(c, r): (0, r) for c in columns for r in ranks[c]}  # prefix so far, rank under it
@@ -49,18 +50,18 @@ def order_statistics(df: DataFrame, ranks: dict[str, list[int]]) -> dict[str, di
                         n = len(digits)
                         yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int32()), pa.array([str(prefix)] * n, pa.string()), pa.array(digits.astype(np.int32)), pa.array(counts)], names=["column", "prefix", "digit", "n"])
 
-        found = rows.mapInArrow(work, "column int, prefix string, digit int, n long").groupBy("column", "prefix", "digit").agg(F.sum("n").alias("n")).collect()
-        tables: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for r in found:
-            tables.setdefault((r["column"], int(r["prefix"])), []).append((r["digit"], r["n"]))
+        counts = rows.mapInArrow(work, "column int, prefix string, digit int, n long").groupBy("column", "prefix", "digit").agg(F.sum("n").alias("n"))
+        upto = Window.partitionBy("column", "prefix").orderBy("digit")
+        counts = counts.withColumn("upto", F.sum("n").over(upto))
+        sought = sorted({(columns.index(c), str(prefix), left) for (c, _), (prefix, left) in at.items()})
+        sought = df.sparkSession.createDataFrame(sought, "column int, prefix string, left long")
+        under = (F.col("left") < F.col("upto")) & (F.col("left") >= F.col("upto") - F.col("n"))
+        found = {(r["column"], int(r["prefix"]), r["left"]): (r["digit"], r["left"] - r["upto"] + r["n"]) for r in counts.join(F.broadcast(sought), ["column", "prefix"]).where(under).collect()}
         for (name, rank), (prefix, left) in at.items():
-            for digit, n in sorted(tables.get((columns.index(name), prefix), [])):
-                if left < n:
-                    break
-                left -= n
-            else:
+            if (columns.index(name), prefix, left) not in found:
                 raise IndexError(f"{name} has no value of rank {rank}")
-            at[name, rank] = (prefix << BITS | digit, left)
+            digit, rest = found[columns.index(name), prefix, left]
+            at[name, rank] = (prefix << BITS | digit, rest)
     out: dict[str, dict[int, float]] = {c: {} for c in columns}
     for (name, rank), (key, _) in at.items():
         out[name][rank] = value_of(key)

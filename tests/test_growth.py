@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from meridia.operators import learners, models
+from meridia.operators import learners, lime, models
 
 
 @pytest.fixture
@@ -59,3 +59,14 @@ def test_sweep_trains_on_as_many_partitions_as_its_bytes_call_for(spark, many_pa
     out, status = models.sweep(rows.where("i < 150"), rows.where("i >= 150"), ["gaussian_nb"], "i", 2, 2)
     assert status == {"gaussian_nb": "OK"} and out.count() == 50
     assert seen and max(seen) < 64
+
+
+def test_quartile_edges_are_exact_beyond_ten_thousand_rows(spark):
+    rows = spark.range(0, 40_001, 1, 5).select(F.array(F.sqrt(F.pmod(F.xxhash64("id"), F.lit(10**9))), F.when(F.col("id") % 7 > 0, F.hash("id").cast("double")), F.lit(float("nan"))).alias("v"))
+    values = [np.array([r.v[i] for r in rows.collect()], float) for i in range(3)]
+    edges = lime.quartile_edges(rows, "v")
+    for i in (0, 1):
+        x = np.sort(values[i][~np.isnan(values[i])])
+        assert edges[i].tolist() == [x[0], *[x[-(-len(x) * q // 4) - 1] for q in (1, 2, 3)], x[-1]]
+    assert edges[2].tolist() == [0.0] * 5
+    assert lime.quartile_edges(rows.limit(0), "v").shape == (0, 5)
