@@ -33,11 +33,15 @@ def match_single(detections: DataFrame, truth: DataFrame, thresholds: list[float
     """
     pairs = _boxes(detections, "p_", "confidence", "ordinal").join(_boxes(truth, "g_"), "image_id", "left")
     pairs = pairs.withColumn("iou", F.when(F.col("g_x1").isNotNull(), iou("p_", "g_")).otherwise(0.0))
-    steps = F.explode(F.lit(thresholds)).alias("threshold")
-    each = pairs.select("image_id", "ordinal", "confidence", "iou", F.col("g_x1").isNotNull().alias("has_truth"), steps)
-    reaches = F.col("has_truth") & (F.col("iou") >= F.col("threshold"))
-    first = F.row_number().over(Window.partitionBy("threshold", "image_id", reaches).orderBy(F.desc("confidence"), "ordinal"))
-    return each.withColumn("tp", (reaches & (first == 1)).cast("int")).select("threshold", "image_id", "ordinal", "confidence", "tp")
+    image, rank = Window.partitionBy("image_id"), F.struct("confidence", F.col("ordinal").isNull(), -F.col("ordinal"))
+    taken = []
+    for t in thresholds:
+        # One window by image serves all thresholds: the join has dealt the rows by image already.
+        reaches = F.col("g_x1").isNotNull() & (F.col("iou") >= F.lit(t))
+        first = reaches & rank.eqNullSafe(F.max(F.when(reaches, rank)).over(image))
+        taken.append(F.struct(F.lit(t).alias("threshold"), F.coalesce(first, F.lit(False)).cast("int").alias("tp")))
+    each = pairs.select("image_id", "ordinal", "confidence", F.array(*taken).alias("steps"))
+    return each.select("image_id", "ordinal", "confidence", F.inline("steps")).select("threshold", "image_id", "ordinal", "confidence", "tp")
 
 
 def match_greedy(detections: DataFrame, truth: DataFrame, thresholds: list[float]) -> DataFrame:
@@ -77,10 +81,9 @@ def match_greedy(detections: DataFrame, truth: DataFrame, thresholds: list[float
 def metrics_by_group(matches: DataFrame, truth: DataFrame, groups: DataFrame, group: str) -> DataFrame:
     """Counts and average precision of every group of images, for instance of one visibility; ``groups`` has ``image_id`` and the group."""
     of = groups.select("image_id", group)
-    sums = matches.join(of, "image_id").groupBy(group, "threshold").agg(F.sum("tp").cast("long").alias("tp"), F.sum(1 - F.col("tp")).cast("long").alias("fp"))
     found = truth.join(of, "image_id").groupBy(group).agg(F.count(F.lit(1)).alias("n_truth"))
-    ap = average_precision(matches.join(of, "image_id"), truth.join(of, "image_id"), [group])
-    out = sums.join(found, group, "left").na.fill(0, ["n_truth"]).join(ap, [group, "threshold"])
+    ap = _curves(matches.join(of, "image_id"), truth.join(of, "image_id"), [group]).where(F.col(group).isNotNull())
+    out = ap.withColumn("fp", F.col("n") - F.col("tp")).join(found, group, "left").na.fill(0, ["n_truth"])
     fn = F.greatest(F.lit(0), F.col("n_truth") - F.col("tp"))
     r = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     return out.select(group, "threshold", "tp", "fp", fn.alias("fn"), r(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), r(F.col("tp"), F.col("tp") + fn).alias("recall"), "ap")
@@ -103,16 +106,21 @@ def average_precision(matches: DataFrame, truth: DataFrame, by: list[str] | None
     ``floor(100 * true positives / true boxes)``; the best precision at each
     highest level, then the best from each level up, is all the curve needs.
     """
-    by, keys = by or [], [*(by or []), "threshold"]
+    return _curves(matches, truth, by or []).select(*(by or []), "threshold", "ap")
+
+
+def _curves(matches: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
+    """``average_precision`` with ``tp`` and ``n``, the true positives and all detections of each curve."""
+    keys = [*by, "threshold"]
     n = truth.groupBy(*by).agg(F.count(F.lit(1)).alias("n_truth"))
     found = matches.select(*keys, (-F.col("confidence")).alias("fall"), "image_id", "ordinal", F.col("tp").cast("long").alias("tp"), F.lit(1).cast("long").alias("one"))
     curve = running_totals(found, keys, ["fall", "image_id", "ordinal"], {"tp": "ctp", "one": "k"})
     curve = curve.join(n, by, "left").na.fill(0, ["n_truth"]) if by else curve.crossJoin(F.broadcast(n))
     level = F.when(F.col("n_truth") > 0, F.least(F.lit(100), F.expr("100 * ctp div nullif(n_truth, 0)")))
-    best = curve.groupBy(*keys, level.cast("int").alias("level")).agg(F.max(F.col("ctp") / F.col("k")).alias("precision"))
+    best = curve.groupBy(*keys, level.cast("int").alias("level")).agg(F.max(F.col("ctp") / F.col("k")).alias("precision"), F.max("ctp").alias("tp"), F.max("k").alias("n"))
     upto = best.withColumn("i", F.explode(F.sequence(F.lit(0), F.coalesce("level", F.lit(0)))))
-    upto = upto.groupBy(*keys, "i").agg(F.max(F.when(F.col("level").isNotNull(), F.col("precision"))).alias("p"))
-    return upto.groupBy(*keys).agg((F.sum(F.coalesce("p", F.lit(0.0))) / 101.0).alias("ap"))
+    upto = upto.groupBy(*keys, "i").agg(F.max(F.when(F.col("level").isNotNull(), F.col("precision"))).alias("p"), F.max("tp").alias("tp"), F.max("n").alias("n"))
+    return upto.groupBy(*keys).agg((F.sum(F.coalesce("p", F.lit(0.0))) / 101.0).alias("ap"), F.max("tp").alias("tp"), F.max("n").alias("n"))
 
 
 def mean_average_precision(ap: DataFrame) -> DataFrame:

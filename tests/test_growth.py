@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from meridia.operators import learners, lime, models
+from meridia.operators import detection, learners, lime, models, ranges
 
 
 @pytest.fixture
@@ -70,3 +70,36 @@ def test_quartile_edges_are_exact_beyond_ten_thousand_rows(spark):
         assert edges[i].tolist() == [x[0], *[x[-(-len(x) * q // 4) - 1] for q in (1, 2, 3)], x[-1]]
     assert edges[2].tolist() == [0.0] * 5
     assert lime.quartile_edges(rows.limit(0), "v").shape == (0, 5)
+
+
+def test_running_totals_deal_ranges_by_spark_and_not_by_literals_in_the_plan(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "ROWS_PER_RANGE", 20)
+    df = spark.range(4000).select((F.col("id") % 3).alias("g"), F.hash("id").alias("s"), "id", F.lit(1).cast("long").alias("v"))
+    found = ranges.running_totals(df, ["g"], ["s", "id"], {"v": "k"})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000 and "filter(" not in plan.lower().replace("filter (", "")
+    for g in range(3):
+        own = sorted((r.s, r.id, r.k) for r in found.where(F.col("g") == g).collect())
+        assert [k for *_, k in own] == list(range(1, len(own) + 1))
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_curves_by_group_over_many_ranges_equal_plain_counts(spark, monkeypatch, most):
+    monkeypatch.setattr(ranges, "ROWS_PER_RANGE", 20)
+    monkeypatch.setattr(ranges, "SMALL", most)
+    rng = np.random.default_rng(3)
+    boxes = [(i, j, [None, float("nan"), *rng.random(8).round(1).tolist()][int(rng.integers(10))], 0.0, 0.0, float(rng.integers(5, 11)), 1.0) for i in range(120) for j in range(1, 1 + int(rng.integers(5)))]
+    found = spark.createDataFrame(boxes, "image_id long, ordinal int, confidence double, x1 double, y1 double, x2 double, y2 double")
+    truth = spark.createDataFrame([(i, 0, 0.0, 0.0, 10.0, 1.0) for i in range(0, 120, 2)], "image_id long, ordinal int, x1 double, y1 double, x2 double, y2 double")
+    matches = detection.match_single(found, truth, [0.5, 0.8])
+    got = {(r.image_id, r.ordinal, r.threshold): r.tp for r in matches.collect()}
+    order = lambda b: (b[2] is None, not (b[2] is None or b[2] != b[2]), -(b[2] or 0) if b[2] == b[2] else 0, b[1])
+    for i in range(120):
+        own = sorted((b for b in boxes if b[0] == i), key=order)
+        for t in (0.5, 0.8):
+            hit = next((b[1] for b in own if i % 2 == 0 and b[5] / 10 >= t), None)
+            assert [got[i, b[1], t] for b in own] == [int(b[1] == hit) for b in own]
+    groups = truth.select("image_id", (F.col("image_id") % 3).alias("g"))
+    for r in detection.metrics_by_group(matches, truth, groups, "g").collect():
+        own = [v for (i, _, t), v in got.items() if i % 2 == 0 and i % 3 == r.g and t == r.threshold]
+        assert (r.tp, r.fp, r.fn) == (sum(own), len(own) - sum(own), 20 - sum(own))
