@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_path
 from .neighbours import nearest
 from .selection import exact_quantiles
 
+#: Words whose rows one task of a term count holds on average.
+WORDS_PER_TASK = 250_000
+
 
 def hash_order(id_col: str, seed: int) -> Column:
     """A random-looking order that any engine can reproduce and no partitioning changes."""
@@ -113,15 +117,22 @@ def tfidf(df: DataFrame, is_train: Column, id_col: str, words: str, max_features
     """``id, word, weight`` in long form: term count times ``ln((1 + n) / (1 + df)) + 1``, L2-normalised per row.
 
     The vocabulary is the ``max_features`` most frequent words of the training
-    rows, ties by word.  Words are exploded and counted once; vocabulary,
-    document frequencies and weights all read those counts.
+    rows, ties by word.  Words are written once.  Rows are dealt by id into as
+    many tasks as their words call for, and only there exploded and counted, so
+    a task's memory doesn't grow with the table.
     """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "words")
     rows = df.select(id_col, is_train.alias("__train"), words)
-    terms = rows.select(id_col, "__train", F.explode(words).alias("word")).groupBy(id_col, "__train", "word").agg(F.count(F.lit(1)).alias("tf"))
-    counts = terms.where("__train").groupBy("word").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
-    vocabulary = counts.orderBy(F.desc("n"), "word").limit(max_features).select("word", "df")
-    n = rows.agg(F.count_if("__train").alias("n_docs"))
-    idf = vocabulary.crossJoin(F.broadcast(n)).select("word", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    size = rows.agg(F.count_if("__train").alias("docs"), F.sum(F.greatest(F.size(words), F.lit(0)).cast("long")).alias("words")).first()
+    counts = rows.where("__train").select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    vocabulary = F.broadcast(counts.orderBy(F.desc("n"), "word").limit(max_features).select("word"))
+    dealt = rows.repartition(max(1, -(-(size["words"] or 0) // WORDS_PER_TASK)), id_col)
+    found = dealt.select(id_col, "__train", F.explode(words).alias("word")).join(vocabulary, "word")
+    terms = found.groupBy(id_col, "__train", "word").agg(F.count(F.lit(1)).alias("tf"))
+    df_ = terms.where("__train").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    idf = df_.select("word", (F.log(F.lit(1 + size["docs"]) / (1 + F.col("df"))) + 1).alias("idf"))
     weighted = terms.join(F.broadcast(idf), "word").withColumn("w", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return weighted.select(id_col, "word", (F.col("w") / length).alias("weight"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from meridia.operators import detection, learners, lime, models, ranges
+from meridia.operators import detection, features, learners, lime, models, ranges
 
 
 @pytest.fixture
@@ -103,3 +103,23 @@ def test_curves_by_group_over_many_ranges_equal_plain_counts(spark, monkeypatch,
     for r in detection.metrics_by_group(matches, truth, groups, "g").collect():
         own = [v for (i, _, t), v in got.items() if i % 2 == 0 and i % 3 == r.g and t == r.threshold]
         assert (r.tp, r.fp, r.fn) == (sum(own), len(own) - sum(own), 20 - sum(own))
+
+
+def test_term_counts_are_dealt_by_their_words(spark, monkeypatch):
+    monkeypatch.setattr(features, "WORDS_PER_TASK", 50)
+    docs = spark.range(40).select((F.col("id") % 39).alias("i"), F.transform(F.sequence(F.lit(1), F.col("id") % 9 + 5), lambda w: F.concat(F.lit("w"), (w * F.col("id")) % 7)).alias("w"))
+    found = features.tfidf(docs, F.col("i") % 5 != 0, "i", "w", 5)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    counts, train = {}, {r.i for r in docs.collect() if r.i % 5}
+    for r in docs.collect():
+        counts.setdefault(r.i, []).extend(r.w)
+    total = {}
+    for i in train:
+        for w in counts[i]:
+            total[w] = total.get(w, 0) + 1
+    n = docs.where("i % 5 <> 0").count()
+    idf = {w: np.log((1 + n) / (1 + sum(w in counts[i] for i in train))) + 1 for w in sorted(total, key=lambda w: (-total[w], w))[:5]}
+    want = {(i, w): ws.count(w) * v for i, ws in counts.items() for w, v in idf.items() if w in ws}
+    got = {(r.i, r.word): r.weight for r in found.collect()}
+    assert got.keys() == want.keys()
+    assert all(np.isclose(got[i, w], v / np.sqrt(sum(x * x for (j, _), x in want.items() if j == i))) for (i, w), v in want.items())
