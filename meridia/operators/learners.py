@@ -27,6 +27,8 @@ from .forests import TreeTable, matrix
 
 #: Rows of one ordered block of an online pass.
 SHARD = 20_000
+#: Rows that are mapped to kernel features at a time: each takes several arrays of as many numbers as landmarks.
+KERNEL_ROWS = 1000
 #: Bytes of summed arrays that one Arrow batch holds.
 PACK = 1 << 20
 
@@ -695,12 +697,15 @@ class RadialSVC(Estimator):
 
 
 def with_kernel(df: DataFrame, kernel: Nystrom, column: str) -> DataFrame:
-    """``df`` with ``kernel_map``, the kernel features of an array column."""
+    """``df`` with ``kernel_map``, the kernel features of an array column; a batch is mapped ``KERNEL_ROWS`` rows at a time."""
     shared = df.sparkSession.sparkContext.broadcast(kernel)
 
     @F.pandas_udf("array<double>")
     def mapped(vectors: pd.Series) -> pd.Series:
-        return pd.Series(list(shared.value.features(np.stack(vectors.to_numpy()).astype(float)))) if len(vectors) else pd.Series([], dtype=object)
+        out = []
+        for i in range(0, len(vectors), KERNEL_ROWS):
+            out += list(shared.value.features(np.stack(vectors.iloc[i : i + KERNEL_ROWS].to_numpy()).astype(float)))
+        return pd.Series(out, dtype=object)
 
     return df.withColumn("kernel_map", array_to_vector(mapped(F.col(column))))
 
@@ -716,6 +721,18 @@ class RadialSVCModel(Model):
         x = entries(self.features)
         known = F.coalesce(~F.exists(x, lambda v: F.isnan(v)), F.lit(False))
         blank = F.lit([0.0] * self.kernel.landmarks.shape[1])
-        rows = dataset.withColumns({"_known": known, "_x": F.when(known, x).otherwise(blank)})
-        found = self.machine.transform(with_kernel(rows, self.kernel, "_x"))
-        return found.withColumn("prediction", F.when(F.col("_known"), F.get(F.lit(self.classes), F.col("prediction").cast("int")))).drop("_x", "_known", "kernel_map")
+        weights = np.stack([m.coefficients.toArray() for m in self.machine.models])
+        shared = dataset.sparkSession.sparkContext.broadcast((self.kernel, weights, np.array([m.intercept for m in self.machine.models])))
+
+        # All classes in one function: the machine's own transform starts a Python worker a class in every task.
+        @F.pandas_udf("int")
+        def best(vectors: pd.Series) -> pd.Series:
+            kernel, weights, intercepts = shared.value
+            out = [np.zeros(0, int)]
+            for i in range(0, len(vectors), KERNEL_ROWS):
+                x = np.stack(vectors.iloc[i : i + KERNEL_ROWS].to_numpy()).astype(float)
+                out.append((kernel.features(x) @ weights.T + intercepts).argmax(1))
+            return pd.Series(np.concatenate(out))
+
+        found = dataset.withColumn("_best", best(F.when(known, x).otherwise(blank)))
+        return found.withColumn("prediction", F.when(known, F.get(F.lit(self.classes), F.col("_best")))).drop("_best")

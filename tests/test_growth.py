@@ -123,3 +123,14 @@ def test_term_counts_are_dealt_by_their_words(spark, monkeypatch):
     got = {(r.i, r.word): r.weight for r in found.collect()}
     assert got.keys() == want.keys()
     assert all(np.isclose(got[i, w], v / np.sqrt(sum(x * x for (j, _), x in want.items() if j == i))) for (i, w), v in want.items())
+
+
+def test_radial_svc_predicts_all_classes_in_one_python_function(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(150, 2)) + 6 * np.eye(3)[np.arange(150) % 3][:, :2]
+    rows = spark.createDataFrame([(float(i % 3), v.tolist()) for i, v in enumerate(x)], "label double, v array<double>").withColumn("features", array_to_vector("v"))
+    model = learners.RadialSVC(landmarks=16, maxIter=10).fit(rows)
+    found = model.transform(rows)
+    assert found._jdf.queryExecution().executedPlan().toString().count("EvalPython") == 1
+    raw = np.stack([model.kernel.features(x) @ m.coefficients.toArray() + m.intercept for m in model.machine.models], 1)
+    assert [r.prediction for r in found.select("v", "prediction").collect()] == raw.argmax(1).astype(float).tolist()
